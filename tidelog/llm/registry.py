@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to module; the module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
     "op3_simhash_near_dedup": "simhash",
+    "op7_entropy_mixing": "mixing",
+    "op8_toxicity_gru": "toxicity",
 }
 
 
