@@ -89,7 +89,7 @@ def links(nodes: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) -> Dat
     """
     placed = cells(nodes, budget)
     shared = settled(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    kept = settled(placed.join(shared, "key"), "placed")
+    kept = settled(placed.hint("merge").join(shared, "key"), "placed")  # occupied cells grow with the input: never broadcast
     quiet = kept.where(F.col("n") <= crowded)
     pairs = (
         quiet.select("key", F.col("fp").alias("u"))
