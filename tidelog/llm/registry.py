@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to module; the module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
     "op3_simhash_near_dedup": "simhash",
+    "op5_benchmark_decontamination": "decontaminate",
     "op7_entropy_mixing": "mixing",
     "op8_toxicity_gru": "toxicity",
+    "op9_token_records": "records",
 }
 
 
