@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to module; the module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
+    "op2_bradley_terry_quality": "quality",
     "op3_simhash_near_dedup": "simhash",
+    "op4_composite_text_density": "html_text",
     "op5_benchmark_decontamination": "decontaminate",
+    "op6_chat_token_assembly": "chat",
     "op7_entropy_mixing": "mixing",
     "op8_toxicity_gru": "toxicity",
     "op9_token_records": "records",
+    "op10_media_fingerprints": "media",
 }
 
 
