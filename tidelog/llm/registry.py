@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to module; the module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
+    "op1_license_scan": "license_scan",
     "op2_bradley_terry_quality": "quality",
     "op3_simhash_near_dedup": "simhash",
     "op4_composite_text_density": "html_text",
