@@ -1,0 +1,160 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import pairs
+from tidelog.operators.batch import WriteBatch, exploded
+from tidelog.schema import Corruption, InvalidArgument, IOFailure, NotFound, Options
+from tidelog.store import STEPS, VersionedStore
+from tidelog.streaming import tail
+
+NEW = Options(create_if_missing=True, l0_compaction_trigger=1, max_write_amplification=0)
+
+
+@pytest.fixture
+def root(tmp_path):
+    return f"file://{tmp_path}/store"
+
+
+def test_put_get_delete_scan_and_reopen(spark, root):
+    with VersionedStore.open(spark, root, NEW) as s:
+        assert s.put(b"a", b"1") == 1
+        assert s.write(WriteBatch().put(b"b", b"x").put(b"b", b"2").delete(b"a")) == 4
+        assert s.write(WriteBatch()) == 4
+        assert s.get(b"b") == b"2" and s.get(b"a", 1) == b"1"
+        with pytest.raises(NotFound):
+            s.get(b"a")
+        s.flush()
+        s.put(b"", b"empty key")
+    with VersionedStore.open(spark, root) as s:
+        assert s.state.last_sequence == 5 and s.num_table_files() == 1
+        assert pairs(s.scan()) == [("", "empty key"), ("b", "2")]
+        assert pairs(s.scan(reverse=True, limit=1)) == [("b", "2")]
+        assert pairs(s.prefix(b"b")) == [("b", "2")]
+        assert s.get(b"b") == b"2"
+
+
+def test_snapshot_survives_compaction(spark, root):
+    with VersionedStore.open(spark, root, NEW) as s:
+        s.put(b"key", b"gen1")
+        s.put(b"dead", b"x")
+        s.flush()
+        pin = s.snapshot()
+        s.put(b"key", b"gen2")
+        s.delete(b"dead")
+        assert s.compact() >= 1
+        assert s.get(b"key", pin.seq) == b"gen1" and s.get(b"key") == b"gen2"
+        assert s.get(b"dead", pin.seq) == b"x"
+        with pytest.raises(NotFound):
+            s.get(b"dead")
+        pin.release()
+        pin.release()
+        s.put(b"z", b"z")
+        s.flush()
+        s.compact_level(0)
+        assert s.earliest_snapshot() == s.state.last_sequence
+        assert pairs(s.scan()) == [("key", "gen2"), ("z", "z")]
+        assert s.vacuum() and sum(s.level_file_counts()) == s.num_table_files()
+        assert pairs(s.scan()) == [("key", "gen2"), ("z", "z")]
+
+
+def test_bulk_write_numbers_rows_in_order(spark, root):
+    with VersionedStore.open(spark, root, NEW) as s:
+        s.put(b"k00001", b"old")
+        ops = spark.range(500).select(F.format_string("k%05d", "id").alias("user_key"), F.lit(1).alias("type"), F.col("id").cast("string").alias("value"), "id")
+        assert s.write_frame(ops, "id") == 501
+        seqs = [(r.user_key.decode(), r.seq) for r in s.log().where("seq > 1").orderBy("seq").collect()]
+        assert seqs == [(f"k{i:05d}", i + 2) for i in range(500)]
+        assert s.get(b"k00001") == b"1"
+        assert s.write_frame(ops.limit(0), "id") == 501
+
+
+def test_options_and_lock(spark, root):
+    for bad in ({"write_buffer_size": 0}, {"l0_compaction_trigger": 0}, {"max_num_levels": 1}, {"max_level_bytes_multiplier": 0}):
+        with pytest.raises(InvalidArgument):
+            VersionedStore.open(spark, root, Options(create_if_missing=True, **bad))
+    with pytest.raises(InvalidArgument):
+        VersionedStore.open(spark, root)
+    with VersionedStore.open(spark, root, NEW) as s:
+        s.put(b"a", b"1")
+        with pytest.raises(IOFailure):
+            VersionedStore.open(spark, root)
+        reader = VersionedStore.open(spark, root, read_only=True)
+        assert reader.get(b"a") == b"1"
+        with pytest.raises(InvalidArgument):
+            reader.put(b"b", b"2")
+    with pytest.raises(InvalidArgument):
+        VersionedStore.open(spark, root, Options(error_if_exists=True))
+    with pytest.raises(InvalidArgument):
+        VersionedStore.open(spark, root, Options(comparator="reverse"))
+    VersionedStore.open(spark, root).close()
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_crash_loses_nothing_acknowledged(spark, root, step):
+    s = VersionedStore.open(spark, root, NEW)
+    for i in range(20):
+        s.put(f"key{i:02d}".encode(), f"v{i}".encode())
+    s.flush()
+    s.delete(b"key00")
+
+    def stop(name):
+        if name == step:
+            raise KeyboardInterrupt(name)
+
+    s.step = stop
+    with pytest.raises(KeyboardInterrupt):
+        s.flush()
+        s.compact_level(0)
+    s.files.delete("LOCK")  # the process is gone
+    with VersionedStore.open(spark, root) as again:
+        assert pairs(again.scan()) == [(f"key{i:02d}", f"v{i}") for i in range(1, 20)]
+        assert {n for n in again.files.names() if n.startswith("run-")} == {f"run-{r.run_id:08d}" for r in again.state.runs}
+
+
+def test_damaged_manifest_is_an_error(spark, root, tmp_path):
+    with VersionedStore.open(spark, root, NEW) as s:
+        s.put(b"a", b"1")
+        s.put(b"b", b"1")
+    first = tmp_path / "store/manifest/000000000001.json"
+    for crc in (tmp_path / "store/manifest").glob(".*.crc"):
+        crc.unlink()
+    kept = first.read_text()
+    first.write_text(kept[:10])
+    with pytest.raises(Corruption):
+        VersionedStore.open(spark, root)
+    first.unlink()
+    with pytest.raises(Corruption):
+        VersionedStore.open(spark, root)
+
+
+def test_many_edits_replay_from_a_whole_state(spark, root):
+    with VersionedStore.open(spark, root, NEW) as s:
+        for i in range(70):
+            s.put(b"hot", str(i).encode())
+    with VersionedStore.open(spark, root) as s:
+        assert s.state.last_sequence == 70 and s.get(b"hot") == b"69"
+
+
+def test_batches_explode_to_consecutive_sequences(spark):
+    op = "array<struct<type:tinyint,key:string,value:string>>"
+    rows = spark.createDataFrame([(1, [(1, "a", "x"), (0, "a", None)]), (2, []), (3, [(1, "b", "y")])], f"batch_id long, ops {op}")
+    got = sorted((r.seq, r.batch_id, r.user_key, r.type) for r in exploded(rows, 99).collect())
+    assert got == [(100, 1, "a", 1), (101, 1, "a", 0), (102, 3, "b", 1)]
+
+
+def test_stream_of_changes(spark, log, tmp_path, root):
+    folder = str(tmp_path / "changes")
+    log(("a", 1, "1"), ("b", 2, "2")).coalesce(1).write.parquet(folder)
+    log(("a", 4, None), ("b", 1, "late")).coalesce(1).write.mode("append").parquet(folder)
+    seen = {}
+
+    def sink(df, _):
+        seen.update({bytes(r.user_key): (r.seq, r.type) for r in df.collect()})
+
+    tail.drain(tail.latest(tail.read(spark, folder, 1)), sink, str(tmp_path / "ck1"))
+    assert seen == {b"a": (4, 0), b"b": (2, 1)}
+    with VersionedStore.open(spark, root, NEW) as s:
+        tail.apply_to(s, tail.read(spark, folder), str(tmp_path / "ck2"), "seq", "user_key").awaitTermination()
+        assert pairs(s.scan()) == [("b", "2")]
