@@ -30,7 +30,7 @@ CYCLE = 3
 GRAIN = 1 << 20
 STEPS, TOLERANCE, REPAIRS = 60, 1e-7, 6
 #: Documents of one source and size stratum that one window task numbers.
-STRATUM = 1 << 14
+STRATUM = 1 << 12
 
 #: The source as a column that is never null and sorts by code point, null last.
 KEY = "_source"
@@ -127,11 +127,13 @@ def mixture(sized: DataFrame) -> DataFrame:
     docs = _keyed(sized.drop("source_size", "target", "copies", "taken"))
     counts = settled(docs.groupBy(KEY, "size").agg(F.count("*").alias("n")), "counts")
     state = settled(tilts(counts, targets(counts)), "state")
-    crowded = counts.where(F.col("n") > STRATUM).select(KEY, "size", F.ceil(F.col("n") / STRATUM).cast("long").alias("_strata"))
+    # a table of its own, so that Spark knows its size when it chooses the join
+    crowded = settled(counts.where(F.col("n") > STRATUM).select(KEY, "size", F.ceil(F.col("n") / STRATUM).cast("long").alias("_strata")), "crowded")
     hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     drawn = docs.withColumn("_draw", F.xxhash64(*hashed)).join(crowded, [KEY, "size"], "left")
     drawn = drawn.withColumn("_stratum", F.pmod("_draw", F.coalesce("_strata", F.lit(1)).cast("long"))).drop("_strata")
     cell = [KEY, "size", "_stratum"]
+    drawn = drawn.repartition(*cell)  # else the window takes over the join's partitions, in which a crowded cell is one task
     order = Window.partitionBy(*cell).orderBy("_draw")
     ranked = drawn.withColumn("_rank", F.row_number().over(order)).drop("_draw")
     shares = _shares(drawn.groupBy(*cell).agg(F.count("*").alias("n")), state)
