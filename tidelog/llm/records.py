@@ -10,9 +10,12 @@ them, follow the order of document ids.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from tidelog.llm.common import SLICE, settled, shared_folder, table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: White-space separated pieces whose ids a worker keeps, then it starts anew.
-CACHE = 500_000
+CACHE = 300_000
 
 _HEAD = struct.Struct("<Q")
 _CHECK = struct.Struct("<I")
@@ -62,8 +65,24 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id if known else None), np.frombuffer(payload, f"<u{width}", offset=_PAYLOAD.size)
 
 
+#: A word of Latin letters, in lower case, and ASCII punctuation behind it: the tokenizer's own split of such a piece.
+_WORD = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class Encoder:
-    """Encodes texts piece by piece: the tokenizer never joins what ASCII white space separates."""
+    """Encodes texts piece by piece: the tokenizer never joins what ASCII white space separates.
+
+    Ids of pieces are kept. Of more than ``capacity`` pieces those stay that came up again, and if these
+    are too many, none. Most pieces are a word with punctuation behind it; the two parts go to the
+    tokenizer's model as its own normalizer and splitter would hand them on, all others to the tokenizer.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID, capacity: int = CACHE) -> None:
         from tokenizers import Tokenizer
@@ -73,17 +92,59 @@ class Encoder:
         self.dtype, self.capacity = f"<u{self.width}", capacity
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
+        self.model, self.letters, self.tails = self.tokenizer.model, _byte_letters(), {}
+        self.packer = lru_cache(4096)(lambda n: struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack)
+        self.direct = self._splits_words()
+
+    def _splits_words(self) -> bool:
+        """Whether the model, given words and punctuation apart, agrees with the tokenizer on pieces of all kinds."""
+        heads = ["a", "The", "QU\u00c9", "stra\u00dfe", "na\u00efve", "\u00f8re", "re", "s", "\u00ffz", "don"]
+        tails = ["", ".", "'", "''", "###", "_", "!?", "&&&", ")", "$", "-", "<>", "`~|", '"/', "*+,:;=@[]^{}%\\("]
+        for piece in (h + t for h in heads for t in tails):
+            found = _WORD.match(piece.lower())
+            if self._parts(found) != self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids):
+                return False
+        return True
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return self.packer(len(ids))(*ids)
+
+    def _parts(self, found: re.Match) -> bytes:
+        head, tail = found.groups()
+        if not head.isascii():
+            head = head.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(head)]
+        if tail:
+            if (end := self.tails.get(tail)) is None:
+                end = self.tails[tail] = [token.id for token in self.model.tokenize(tail)]
+            ids += end
+        return self._bytes(ids)
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        rest = []
+        for piece in fresh:
+            text = piece.decode()
+            found = _WORD.match(text.lower()) if self.direct else None
+            if found:
+                self.known[piece] = self._parts(found)
+            else:
+                rest.append((piece, text))
+        for at in range(0, len(rest), 2000):
+            some = rest[at : at + 2000]
+            coded = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            self.known.update((piece, self._bytes(c.ids)) for (piece, _), c in zip(some, coded))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.known) > self.capacity:
-            self.known.clear()
-        fresh = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update(zip(some, (np.array(c.ids, self.dtype).tobytes() for c in coded)))
+        pieces = set().union(*split)
+        fresh = pieces.difference(self.known)
+        self.again |= pieces - fresh
+        if len(self.known) + len(fresh) > self.capacity:
+            kept = self.again if len(self.again) <= self.capacity // 2 else pieces - fresh
+            self.known, self.again, self.tails = {w: self.known[w] for w in kept}, set(), {}
+        self._learn(fresh)
         look = self.known.__getitem__
         return [b"".join(map(look, words)) + self.end for words in split]
 
@@ -94,6 +155,7 @@ _encoders: dict[tuple, Encoder] = {}
 def _encoder(vocabulary: str, end_id: int) -> Encoder:
     """One encoder for each worker process; ``vocabulary`` is the name of a public file or a path."""
     if (vocabulary, end_id) not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         path = vocabulary
         if "/" not in vocabulary:
             import public_tokenizers
