@@ -27,8 +27,8 @@ MOST = 3
 #: Sources weigh 1, 2, 3, repeating, in the order of their names, null last.
 CYCLE = 3
 #: Rates are multiples of this.
-GRAIN = 1 << 20
-STEPS, TOLERANCE, REPAIRS = 60, 1e-7, 6
+GRAIN = 1 << 24
+STEPS, TOLERANCE, REPAIRS = 60, 1e-6, 6
 #: Documents of one source and size stratum that one window task numbers.
 STRATUM = 1 << 12
 
