@@ -478,3 +478,13 @@ def test_gradients_against_differences():
             down = gru.gradients(w, vectors, there, target, weight)[0]
             params[at] = kept
             assert grad[at] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=2e-4)
+
+
+def test_shared_folder_follows_the_session():
+    from types import SimpleNamespace
+
+    from tidelog.llm.common import shared_folder
+
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "hdfs://x/shared/"))
+    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d))
+    assert shared_folder(named, "t").startswith("hdfs://x/shared/t-") and shared_folder(unnamed, "t").startswith("file:///")

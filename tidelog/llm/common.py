@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and every executor can reach.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, is a
-    temporary folder set for the session.
+    It lies in ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a
+    temporary folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
