@@ -183,4 +183,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = f"{END}{BODY} ok {SHUT}"
     extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
-    return digests(formatted(told.unionByName(extra)))
+    return digests(formatted(told.unionByName(extra))).drop("n_tokens")
+
+
+def _escaped_sql(column: str) -> str:
+    sql = f"replace(coalesce({column}, ''), '\\', '\\\\')"
+    for control in CONTROLS:
+        sql = f"replace({sql}, '{control}', '{control[0]}\\{control[1:]}')"
+    return sql
+
+
+ORACLE_SQL = f"""
+WITH told AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, t, r, '{END}{BODY} ok {SHUT}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM told)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST({len(END)} + sum({len(OPEN + BODY + SHUT)} + length({_escaped_sql("role")}) + length({_escaped_sql("text")})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

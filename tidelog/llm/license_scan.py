@@ -134,3 +134,35 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, contained: float
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _words_sql(column: str) -> str:
+    return f"string_split(trim(regexp_replace(lower(coalesce({column}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+
+
+def _shingles_sql(table_: str, key: str) -> str:
+    """``key, pos, shingle`` for every shingle of the words ``w``."""
+    return (
+        f"SELECT {key}, unnest(range(0, len(w) - {SHINGLE - 1})) AS pos, "
+        f"unnest(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' '))) AS shingle, len(w) - {SHINGLE - 1} AS n "
+        f"FROM {table_} WHERE len(w) >= {SHINGLE}"
+    )
+
+
+_VALUES = ", ".join(f"('{name}', '{text}')" for name, text in sorted(TEMPLATES.items()))
+#: All windows, by the shingles they share with a template; the bands miss fewer than one in 10,000 at the lowest containment.
+ORACLE_SQL = f"""
+WITH given AS (SELECT license, {_words_sql("text")} AS w FROM (VALUES {_VALUES}) v(license, text)),
+template AS ({_shingles_sql("given", "license")}),
+sized AS (SELECT license, any_value(n) AS t, count(DISTINCT shingle) AS kinds, greatest(1, any_value(n) // 4) AS step FROM template GROUP BY license),
+split AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents),
+shingles AS ({_shingles_sql("split", "doc_id")}),
+shared AS (SELECT DISTINCT doc_id, license, pos, shingle, n FROM shingles JOIN (SELECT DISTINCT license, shingle FROM template) USING (shingle)),
+placed AS (
+    SELECT doc_id, license, shingle, kinds, step * unnest(range(greatest(0, (pos - t - step + 2 + step - 1) // step), pos // step + 1)) AS first_word
+    FROM shared JOIN sized USING (license)
+),
+windows AS (SELECT doc_id, license, first_word, count(DISTINCT shingle) / any_value(kinds) AS containment FROM placed GROUP BY ALL HAVING containment >= {CONTAINED}),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, first_word) AS place FROM windows)
+SELECT doc_id, license, containment, CAST(first_word AS BIGINT) AS first_word FROM best WHERE place = 1
+"""
