@@ -188,8 +188,11 @@ def train(windows: np.ndarray, owner: np.ndarray, target: np.ndarray, vocabulary
     that score highest are the examples of theirs, with a random half as many.
     """
     w, rng = initial(seed), np.random.default_rng(seed)
-    rows, starts = gram_rows(vocabulary) if vocabulary else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    counts = np.diff(np.append(starts, len(rows)))
+    parts = [gram_rows(vocabulary[at : at + 20_000]) for at in range(0, len(vocabulary), 20_000)]
+    rows = np.concatenate([np.zeros(0, np.int32), *(r for r, _ in parts)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(np.append(s, len(r))) for r, s in parts)])
+    starts = np.cumsum(counts) - counts
+    del parts
     word_rows = np.array([word_row(x) for x in vocabulary], np.int64)
     dense = w.each()[2:]
     first, second = [np.zeros_like(x) for x in dense], [np.zeros_like(x) for x in dense]
@@ -246,9 +249,13 @@ def train(windows: np.ndarray, owner: np.ndarray, target: np.ndarray, vocabulary
     return w
 
 
-def score(w: Weights, windows: np.ndarray, vocabulary: list[bytes], batch: int = 4096) -> np.ndarray:
-    table = np.concatenate([*(project(w, vocabulary[at : at + 20_000]) for at in range(0, len(vocabulary), 20_000)), np.zeros((1, 6 * HIDDEN), np.float32)])
-    tables = [np.ascontiguousarray(x) for x in np.split(table, 2, axis=1)]
+def score(w: Weights, windows: np.ndarray, vocabulary: list[bytes], batch: int = 2048) -> np.ndarray:
+    """The logits of windows of numbers of ``vocabulary``."""
+    tables = [np.zeros((len(vocabulary) + 1, 3 * HIDDEN), np.float32) for _ in (0, 1)]  # the last row is for pads
+    for at in range(0, len(vocabulary), 20_000):
+        some = vocabulary[at : at + 20_000]
+        for table, half in zip(tables, np.split(project(w, some), 2, axis=1)):
+            table[at : at + len(some)] = half
     return np.concatenate([np.zeros(0, np.float32), *(logits(w, tables, windows[at : at + batch]) for at in range(0, len(windows), batch))])
 
 

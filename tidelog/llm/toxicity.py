@@ -1,12 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling (``gru``).
 
-The network is trained in numpy on the driver from a bounded sample of labelled documents; every
-document is then scored over all overlapping windows of its whole text, and its score follows from
+The network is trained in numpy, in one task, from a bounded sample of labelled documents; only its
+weights come back. Every document is then scored over all overlapping windows of its whole text, and its score follows from
 the highest window.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -95,8 +96,16 @@ def scored(docs: DataFrame, model: tuple[gru.Weights, float, float]) -> DataFram
 
 def model_of(docs: DataFrame, labels: DataFrame) -> tuple[gru.Weights, float, float]:
     """Trained on rows whose crc32 of the id modulo 3 is not 1, ``2 * PER_CLASS`` of them at most."""
-    rows = labelled_texts(docs, labels, "toxic", 3, 1, PER_CLASS).select("doc_id", "label", "text").collect()
-    return fit([tuple(r) for r in rows])
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    sample = labelled_texts(docs, labels, "toxic", 3, 1, PER_CLASS).select("doc_id", "label", "text")
+    made = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
