@@ -340,6 +340,8 @@ def test_mask_covers_assistant_text_only():
         ("<article><p>Keep &amp; this &eacute; &#233; &copy</p><script>if (a<b) '</p>'</script><section class='user-comments'><p>nice</p></section><form>x</form></article>", "Keep & this é é ©"),
         ("<div id=sidebar><p>long long long long long text</p></div><main><p>Short.</p></main>", "Short."),
         ("<p>unclosed <!-- never closed", "unclosed"), ("<p>a <scr", "a"), ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<table><tr><td>1<td>2</table>", "1\n2"),
+        ("<div class='with-sidebar'><h1>T</h1><p>One.</p><p>Two.</p><div class='sidebar'><p>x</p></div></div>", "T\nOne.\nTwo."),
+        ("<div class=header><h1>Site</h1></div><p>Text of the page.</p>", "Text of the page."), ("<div class=nav-on><main><p>In.</p></main></div>", "In."),
         ("<div class='cookie-notice'>we use</div><div class='reading'>Text of the page here.</div>", "Text of the page here."),
     ],
 )

@@ -4,7 +4,8 @@ A page is parsed into blocks. Every block has a composite density: its character
 by the share of them that stands in links. A block's sum is that of its children's densities. Of the
 blocks on which the path from the body is at least as dense as the body itself, the one with the
 largest sum is the article. What is never article text, such as scripts, navigation, adverts, forms and
-comments, is taken out before, by element and by the words of its class, id and role.
+comments, is taken out before, by element and by the words of its class, id and role, unless such an
+element holds the page itself, as a frame called "with-sidebar" does.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ class Node:
     tag: str
     parent: "Node | None" = None
     skipped: bool = False
+    suspect: bool = False  # marked by its attributes
     parts: list = field(default_factory=list)  # child blocks, and runs of text as [text, is linked]
     links: int = 0
     chars: int = 0
@@ -117,25 +119,44 @@ def parse(page: str) -> Node:
             continue
         if name not in INLINE:
             _imply(name, open_tags, close)
-        mark = name in SKIPPED or _marked(found[3] or "")
+        suspect = _marked(found[3] or "")
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name in INLINE and not mark:
+        if name in INLINE and not suspect:
             open_tags.append((name, None))
             if name == "a":
                 anchor += 1
                 node.links += not node.skipped
             continue
-        child = Node(name, node, skipped=node.skipped or mark)
+        child = Node(name, node, skipped=node.skipped or name in SKIPPED, suspect=suspect)
         node.parts.append(child)
         open_tags.append((name, child))
         node = child
     text(len(page))
+    _judge(root)
     return root
 
 
+def _judge(root: Node) -> None:
+    """Take out suspects, but not those that hold the page: a main element, or a heading and two paragraphs."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(p for p in node.parts if isinstance(p, Node))
+    seen = {id(n): [n.tag == "main", n.tag == "h1", n.tag == "p"] for n in order}
+    for node in reversed(order):
+        mains, heads, paragraphs = seen[id(node)]
+        if node.suspect and not mains and not (heads and paragraphs >= 2):
+            node.skipped = True
+        if node.parent is not None and not node.skipped:
+            above = seen[id(node.parent)]
+            for i, n in enumerate(seen[id(node)]):
+                above[i] += n
+
+
 def _imply(name: str, open_tags: list, close) -> None:
     """End the elements that the start of block ``name`` ends."""
     for i in range(len(open_tags) - 1, -1, -1):
