@@ -91,3 +91,14 @@ def test_a_tombstone_above_the_pin_survives_the_bottom_level(log):
     rows = log(("k", 1, "old"), ("k", 5, None))
     kept = mvcc.retained(rows, 2, bottom=True)
     assert pairs(mvcc.visible(kept)) == [] and pairs(mvcc.visible(kept, 2)) == [("k", "old")]
+
+
+def test_key_only_reads_do_not_scan_values(spark, log, tmp_path):
+    path = str(tmp_path / "run")
+    log(("a", 1, "1"), ("b", 2, "2"), ("b", 3, None)).write.parquet(path)
+    rows = spark.read.parquet(path)
+    keys = mvcc.visible_keys(rows)
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "value" not in plan
+    assert [bytes(r.user_key) for r in keys.collect()] == [b"a"]
+    assert [(bytes(r.user_key), r.seq) for r in mvcc.tombstones(rows).collect()] == [(b"b", 3)]

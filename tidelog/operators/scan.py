@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.keys import prefix_end
-from tidelog.operators.mvcc import at, newest, visible
+from tidelog.operators.mvcc import at, newest, visible, visible_keys
 from tidelog.schema import PUT
 
 
@@ -34,7 +34,7 @@ def multi_get(log: DataFrame, keys: DataFrame, snapshot: int | None = None) -> D
 
 def contains(log: DataFrame, keys: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The rows of ``keys(user_key)`` that are visible."""
-    return keys.join(visible(log, snapshot).select("user_key"), "user_key", "left_semi")
+    return keys.join(visible_keys(log, snapshot), "user_key", "left_semi")
 
 
 def between(log: DataFrame, start=None, end=None, snapshot: int | None = None) -> DataFrame:
@@ -82,12 +82,12 @@ def previous_page(log: DataFrame, before, limit: int, snapshot: int | None = Non
 
 def first_last(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """``first_key, last_key`` of the visible rows; nulls where there are none."""
-    return visible(log, snapshot).agg(F.min("user_key").alias("first_key"), F.max("user_key").alias("last_key"))
+    return visible_keys(log, snapshot).agg(F.min("user_key").alias("first_key"), F.max("user_key").alias("last_key"))
 
 
 def around(log: DataFrame, target, snapshot: int | None = None) -> DataFrame:
     """``predecessor`` below ``target`` and ``successor`` at or above it."""
     key = F.col("user_key")
-    return visible(log, snapshot).agg(
+    return visible_keys(log, snapshot).agg(
         F.max(F.when(key < F.lit(target), key)).alias("predecessor"), F.min(F.when(key >= F.lit(target), key)).alias("successor")
     )
