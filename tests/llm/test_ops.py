@@ -356,6 +356,20 @@ def test_links_lose_against_prose():
     assert got.count("\n") == 4 and "menu" not in got
 
 
+@pytest.mark.parametrize("tag", ["section", "div"])
+@pytest.mark.parametrize("menu", ["", "<div><ul>" + "<li><a href=/x>an entry of the menu</a></li>" * 12 + "</ul></div>"])
+def test_articles_of_several_sections_stay_whole(tag, menu):
+    parts = [[f"Part {k} paragraph {i} " + "says some more of it " * 14 for i in range(10)] for k in range(2)]
+    items = [f"Entry {i} of the list holds a few words" for i in range(150)]
+    body = "".join(f"<{tag}>" + "".join(f"<p>{p}</p>" for p in part) + f"</{tag}>" for part in parts)
+    sections = f"{menu}<article><h1>Head</h1>{body}<p>End.</p></article>"
+    listed = f"{menu}<div><h1>Head</h1><p>{parts[0][0]}</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><p>{parts[1][0]}</p></div>"
+    assert html_text.main_text(sections).split("\n") == ["Head", *(p.strip() for part in parts for p in part), "End."]
+    assert html_text.main_text(listed).split("\n") == ["Head", parts[0][0].strip(), *items, parts[1][0].strip()]
+    within = f"<div>{menu}{body}{menu}</div>"
+    assert html_text.main_text(within).split("\n") == [p.strip() for part in parts for p in part]
+
+
 def test_extracted_rows(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = spark.createDataFrame([(1, "u", "<p>x</p>", "q"), (1, "u", "<p>x</p>", "q"), (None, None, None, None), (3, "v", deep, "q")], "page_id long, url string, html string, text string")

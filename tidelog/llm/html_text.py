@@ -3,7 +3,10 @@
 A page is parsed into blocks. Every block has a composite density: its characters for each tag, damped
 by the share of them that stands in links. A block's sum is that of its children's densities. Of the
 blocks on which the path from the body is at least as dense as the body itself, the one with the
-largest sum is the article. What is never article text, such as scripts, navigation, adverts, forms and
+largest sum is the core of the article, and the least density on its path the threshold. The article is
+the highest block on the path that holds another block of the threshold's density, a heading of the page
+or is marked up as an article; lists of links that stay under the threshold beside the core are left
+out. What is never article text, such as scripts, navigation, adverts, forms and
 comments, is taken out before, by element and by the words of its class, id and role, unless such an
 element holds the page itself, as a frame called "with-sidebar" does.
 """
@@ -212,7 +215,7 @@ def density(node: Node, body: Node) -> float:
 
 
 def article(root: Node) -> Node:
-    """The block with the largest sum whose path from the body is nowhere less dense than the body."""
+    """The block that holds all of the article: the core, the dense blocks beside it and what lies between."""
     order = _measure(root)
     dense = {id(root)}
     best = root
@@ -223,7 +226,38 @@ def article(root: Node) -> Node:
             dense.add(id(node))
             if node.total > best.total or (best is root and node.total >= root.total):
                 best = node
-    return best
+    return _whole(best, root, order)
+
+
+def _whole(core: Node, root: Node, order: list[Node]) -> Node:
+    """The highest block on the path of ``core`` that has more of the article; its lists of links beside ``core`` are skipped."""
+    path = [core]
+    while path[-1] is not root:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    peak = {id(n): n.density for n in order}  # the densest block within each
+    for node in reversed(order):
+        if node is not root:
+            peak[id(node.parent)] = max(peak[id(node.parent)], peak[id(node)])
+    top = 0
+    for i, node in enumerate(path[1:], 1):
+        others = [p for p in node.parts if isinstance(p, Node) and not p.skipped and p.chars and p is not path[i - 1]]
+        runs = [(len(_clean(p[0])), p[1]) for p in node.parts if not isinstance(p, Node)]
+        loose = Node("", chars=sum(n for n, _ in runs), linked=sum(n * linked for n, linked in runs), tags=node.links, link_tags=node.links)
+        dense = any(peak[id(p)] >= threshold for p in others) or (loose.chars and density(loose, root) >= threshold)
+        titled = node is not root and any(p.tag == "h1" for p in others)
+        if dense or titled or node.tag == "article":
+            top = i
+    beside = set(map(id, path[:top]))
+    stack = [path[top]]
+    while stack:
+        for p in stack.pop().parts:
+            if isinstance(p, Node) and not p.skipped and p is not core:
+                if id(p) not in beside and peak[id(p)] < threshold and p.link_tags > 2 and 2 * p.linked > p.chars:
+                    p.skipped = True
+                else:
+                    stack.append(p)
+    return path[top]
 
 
 def blocks(node: Node) -> list[str]:
