@@ -476,6 +476,22 @@ def test_scores_do_not_depend_on_batches_or_pieces():
         assert gru.score(w, windows, vocabulary).max() == pytest.approx(z, abs=1e-5)
 
 
+def test_long_words_are_read_to_their_end():
+    rng = random.Random(15)
+    w = gru.initial(0)
+    for n in (63, 64, 65, 124, 125, 4000, 60_000):
+        word = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+        pieces = [x.decode() for x in gru.words_of(f"a {word} b")]
+        assert pieces[0] == "a" and pieces[-1] == "b" and all(len(x) <= gru.WORD_CHARS for x in pieces)
+        assert pieces[1] + "".join(x[max(gru.GRAM_SIZES) - 1 :] for x in pieces[2:-1]) == word
+        grams = {word[i : i + k] for k in gru.GRAM_SIZES for i in range(n - k + 1)}
+        assert grams <= {x[i : i + k] for x in pieces for k in gru.GRAM_SIZES for i in range(len(x) - k + 1)}
+    # what stands behind the first characters of a run reaches the vectors by its n-grams
+    clean, bad = "".join(chr(0x4E00 + i) for i in range(500)), "".join(chr(0x9000 + i) for i in range(20))
+    rows = [{int(r) for x in gru.words_of(t) for r in gru.gram_rows([x])[0]} for t in (clean, clean + bad)]
+    assert len(rows[1] - rows[0]) >= 50
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(0)
     w = gru.Weights(*(x.astype(np.float64) for x in gru.initial(1).each()))

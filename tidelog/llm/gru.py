@@ -16,7 +16,7 @@ import numpy as np
 #: Table sizes: hashed words, hashed character n-grams.
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 15
 GRAM_SIZES = (3, 4, 5)
-#: Characters of a word that give n-grams; longer words are also told apart by the hash of the whole word.
+#: Characters of a word at most; longer ones are cut into pieces that share ``max(GRAM_SIZES) - 1`` characters, so that every n-gram is in one.
 WORD_CHARS = 64
 INPUT, HIDDEN = 16, 8
 WINDOW, STRIDE = 64, 48
@@ -26,7 +26,17 @@ _PLAIN = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b >
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    if max(map(len, words), default=0) <= WORD_CHARS:
+        return words
+    return [piece for w in words for piece in (_pieces(w) if len(w) > WORD_CHARS else (w,))]
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    shared = max(GRAM_SIZES) - 1
+    chars = word.decode("utf-8", "surrogatepass")
+    ends = max(1, len(chars) - shared)
+    return [chars[at : at + WORD_CHARS].encode("utf-8", "surrogatepass") for at in range(0, ends, WORD_CHARS - shared)]
 
 
 def word_row(word: bytes) -> int:
@@ -35,7 +45,7 @@ def word_row(word: bytes) -> int:
 
 def gram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all n-grams of ``words``, one word after the other, and where each word's begin."""
-    padded = ["<" + w.decode("utf-8", "surrogatepass")[:WORD_CHARS] + ">" for w in words]
+    padded = ["<" + w.decode("utf-8", "surrogatepass") + ">" for w in words]
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     data = np.frombuffer(("".join(padded) + "\0" * max(GRAM_SIZES)).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.repeat(np.cumsum(lengths), lengths)
