@@ -370,6 +370,14 @@ def test_articles_of_several_sections_stay_whole(tag, menu):
     assert html_text.main_text(within).split("\n") == [p.strip() for part in parts for p in part]
 
 
+def test_forms_that_hold_the_page_are_kept():
+    page = "<h1>T</h1><p>One line.</p><p>Two lines.</p><select><option>x</option></select><form><p>Your name</p><input></form>"
+    for tag in ("form", "header", "aside"):
+        assert html_text.main_text(f"<body><{tag}>{page}</{tag}></body>") == "T\nOne line.\nTwo lines."
+    assert html_text.main_text("<body><form><main><p>In.</p></main></form></body>") == "In."
+    assert html_text.main_text("<form><h1>Sign up</h1><p>Name</p></form><p>Text of the page.</p>") == "Text of the page."
+
+
 def test_extracted_rows(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = spark.createDataFrame([(1, "u", "<p>x</p>", "q"), (1, "u", "<p>x</p>", "q"), (None, None, None, None), (3, "v", deep, "q")], "page_id long, url string, html string, text string")

@@ -8,7 +8,7 @@ the highest block on the path that holds another block of the threshold's densit
 or is marked up as an article; lists of links that stay under the threshold beside the core are left
 out. What is never article text, such as scripts, navigation, adverts, forms and
 comments, is taken out before, by element and by the words of its class, id and role, unless such an
-element holds the page itself, as a frame called "with-sidebar" does.
+element holds the page itself, as a frame called "with-sidebar" or a form around the whole body does.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split()
 )
 SKIPPED = frozenset(
-    "script style title textarea xmp noframes head nav header footer aside form button select option fieldset input label noscript template iframe object svg canvas audio video map dialog menu".split()
+    "script style title textarea xmp noframes head nav footer button select option fieldset input label noscript template iframe object svg canvas audio video map dialog menu".split()
 )
+# Elements that are taken out unless they hold the page.
+JUDGED = frozenset("header aside form".split())
 CLOSED_BY_BLOCK = frozenset("p".split())
 # Elements that end an open one of the same kind.
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,7 +56,7 @@ class Node:
     tag: str
     parent: "Node | None" = None
     skipped: bool = False
-    suspect: bool = False  # marked by its attributes
+    suspect: bool = False  # marked by its attributes, or an element of JUDGED
     parts: list = field(default_factory=list)  # child blocks, and runs of text as [text, is linked]
     links: int = 0
     chars: int = 0
@@ -133,7 +135,7 @@ def parse(page: str) -> Node:
                 anchor += 1
                 node.links += not node.skipped
             continue
-        child = Node(name, node, skipped=node.skipped or name in SKIPPED, suspect=suspect)
+        child = Node(name, node, skipped=node.skipped or name in SKIPPED, suspect=suspect or name in JUDGED)
         node.parts.append(child)
         open_tags.append((name, child))
         node = child
