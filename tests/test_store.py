@@ -9,7 +9,7 @@ from tidelog.schema import Corruption, InvalidArgument, IOFailure, NotFound, Opt
 from tidelog.store import STEPS, VersionedStore
 from tidelog.streaming import tail
 
-NEW = Options(create_if_missing=True, l0_compaction_trigger=1, max_write_amplification=0)
+NEW = Options(create_if_missing=True, l0_compaction_trigger=1, max_write_amplification=-1)
 
 
 @pytest.fixture
@@ -91,33 +91,135 @@ def test_options_and_lock(spark, root):
     VersionedStore.open(spark, root).close()
 
 
+def gone_pid():
+    """The number of a process that has ended."""
+    import subprocess
+    import sys
+
+    done = subprocess.Popen([sys.executable, "-c", ""])
+    done.wait()
+    return done.pid
+
+
 @pytest.mark.parametrize("step", STEPS)
-def test_a_crash_loses_nothing_acknowledged(spark, root, step):
-    s = VersionedStore.open(spark, root, NEW)
-    for i in range(20):
+@pytest.mark.parametrize("act", ["put", "flush", "compact", "bulk"])
+def test_a_crash_loses_nothing_acknowledged(spark, root, step, act, monkeypatch):
+    """Nothing is repaired by hand: the next writer finds lock, drafts and folders as they are."""
+    import os
+
+    with monkeypatch.context() as m:
+        m.setattr(os, "getpid", gone_pid)
+        s = VersionedStore.open(spark, root, NEW)
+    for i in range(4):
         s.put(f"key{i:02d}".encode(), f"v{i}".encode())
     s.flush()
     s.delete(b"key00")
+    acts = {
+        "put": lambda: s.put(b"key09", b"v9"), "flush": s.flush, "compact": lambda: (s.flush(), s.compact_level(0)),
+        "bulk": lambda: s.write_frame(spark.createDataFrame([(bytearray(b"key09"), 1, bytearray(b"v9"))], "user_key binary, type int, value binary")),
+    }
 
     def stop(name):
         if name == step:
             raise KeyboardInterrupt(name)
 
     s.step = stop
-    with pytest.raises(KeyboardInterrupt):
-        s.flush()
+    try:
+        acts[act]()
+        acknowledged = True
+    except KeyboardInterrupt:
+        acknowledged = False
+    s._stop_renewing()
+    want = [(f"key{i:02d}", f"v{i}") for i in range(1, 4)]
+    for _ in range(2):
+        with VersionedStore.open(spark, root, NEW) as again:
+            got = pairs(again.scan())
+            late = act in ("put", "bulk")
+            assert got in ([want + [("key09", "v9")]] if acknowledged and late else [want, want + [("key09", "v9")]] if late else [want])
+            assert {n for n in again.files.names() if n.startswith("run-")} == {f"run-{r.run_id:08d}" for r in again.state.runs}
+            assert not [n for n in again.files.names() + again.files.names("manifest") if n.endswith((".tmp", ".mark")) or n.startswith("staging")]
+            again.put(b"zz", b"1")
+            again.delete(b"zz")
+
+
+def test_a_late_writer_is_shut_out(spark, root):
+    s = VersionedStore.open(spark, root, NEW)
+    s.put(b"a", b"1")
+    s.lock.files.delete("LOCK")  # its lease has run out and another took over
+    with VersionedStore.open(spark, root, NEW) as other:
+        with pytest.raises(IOFailure):
+            s.put(b"a", b"2")
+        s.close()
+        assert other.get(b"a") == b"1" and other.files.exists("LOCK")
+
+
+def test_locks(spark, root):
+    from tidelog.sources.files import Files, Lock
+
+    files = Files(spark, root)
+    files.make_folder()
+    first = Lock(files, 60)
+    assert first.take() and not Lock(files, 60).take()
+    files._fs.setTimes(files._path("LOCK"), 1000, -1)
+    second = Lock(files, 60)
+    assert second.take()
+    first.release()
+    assert files.exists("LOCK")
+    second.release()
+    assert not files.exists("LOCK")
+
+
+def test_a_file_is_created_once(spark, root):
+    from tidelog.sources.files import Files
+
+    files = Files(spark, root)
+    files.make_folder("manifest")
+    assert files.create("manifest/a", b"1") and not files.create("manifest/a", b"2")
+    assert files.read("manifest/a") == b"1" and files.names("manifest") == ["a"]
+
+    def meanwhile(_):
+        files.create("manifest/b", b"theirs")
+
+    assert not files.create("manifest/b", b"ours", meanwhile) and files.read("manifest/b") == b"theirs"
+
+
+def test_compaction_leaves_other_ranges_alone(spark, root):
+    from dataclasses import replace
+
+    small = replace(NEW, max_run_bytes=4000)
+    rows = lambda a, b, v: spark.range(a, b).select(F.format_string("k%05d", "id").alias("user_key"), F.lit(1).alias("type"), F.lit(v).alias("value"), "id")
+    with VersionedStore.open(spark, root, small) as s:
+        s.write_frame(rows(0, 3000, "one"), "id")
+        s.compact_level(0)
+        level = sorted((r for r in s.state.runs if r.level == 1), key=lambda r: r.smallest_key)
+        assert len(level) > 3 and all(a.largest_key < b.smallest_key for a, b in zip(level, level[1:]))
+        s.write_frame(rows(0, 10, "two"), "id")
         s.compact_level(0)
-    s.files.delete("LOCK")  # the process is gone
-    with VersionedStore.open(spark, root) as again:
-        assert pairs(again.scan()) == [(f"key{i:02d}", f"v{i}") for i in range(1, 20)]
-        assert {n for n in again.files.names() if n.startswith("run-")} == {f"run-{r.run_id:08d}" for r in again.state.runs}
+        after = {r.run_id for r in s.state.runs if r.level == 1}
+        assert {r.run_id for r in level[1:]} <= after and level[0].run_id not in after
+        assert dict(pairs(s.scan())) == {f"k{i:05d}": "two" if i < 10 else "one" for i in range(3000)}
+        cursor = s.run_cursor(level[1].run_id, level[1].largest_key)
+        assert [bytes(r.user_key) for r in cursor.collect()] == [level[1].largest_key]
+        assert s.run_cursor(level[1].run_id, level[1].smallest_key, reverse=True).count() == 1
+        with pytest.raises(NotFound):
+            s.run_cursor(999)
+
+
+def test_old_edits_go_and_state_stays(spark, root):
+    with VersionedStore.open(spark, root, NEW) as s:
+        for i in range(140):
+            s.put(b"hot", str(i).encode())
+        s.vacuum()
+        assert s.manifest.versions()[0] == 64 and len(s.files.names("manifest")) < 100
+    with VersionedStore.open(spark, root) as s:
+        assert s.get(b"hot") == b"139" and s.state.last_sequence == 140 and s.state.held == sum(len(b"hot") + len(str(i)) for i in range(140))
 
 
 def test_damaged_manifest_is_an_error(spark, root, tmp_path):
     with VersionedStore.open(spark, root, NEW) as s:
         s.put(b"a", b"1")
         s.put(b"b", b"1")
-    first = tmp_path / "store/manifest/000000000001.json"
+    first = tmp_path / "store/manifest/000000000002.json"
     for crc in (tmp_path / "store/manifest").glob(".*.crc"):
         crc.unlink()
     kept = first.read_text()
@@ -157,4 +259,12 @@ def test_stream_of_changes(spark, log, tmp_path, root):
     assert seen == {b"a": (4, 0), b"b": (2, 1)}
     with VersionedStore.open(spark, root, NEW) as s:
         tail.apply_to(s, tail.read(spark, folder), str(tmp_path / "ck2"), "seq", "user_key").awaitTermination()
-        assert pairs(s.scan()) == [("b", "2")]
+        assert pairs(s.scan()) == [("b", "2")] and s.state.last_sequence == 4
+        again = log(("b", 9, "again"))
+        s.write_frame(again, "seq", stream=(str(tmp_path / "ck2"), 0))
+        assert pairs(s.scan()) == [("b", "2")] and s.state.last_sequence == 4
+    with VersionedStore.open(spark, root) as s:
+        s.write_frame(again, "seq", stream=(str(tmp_path / "ck2"), 0))
+        assert s.state.last_sequence == 4
+        s.write_frame(again, "seq", stream=(str(tmp_path / "ck2"), 1))
+        assert pairs(s.scan()) == [("b", "again")]

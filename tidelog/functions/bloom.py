@@ -1,13 +1,12 @@
-"""Bloom filters over keys, built in one aggregate pass."""
+"""Bloom filters over keys: of one run in plain Python, of a table in parts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.keys import fnv1a_column
@@ -20,52 +19,87 @@ class Bloom:
     bits: bytes
     probes: int
 
-    def may_hold(self, keys: pd.Series) -> np.ndarray:
+    @staticmethod
+    def of(keys: list[bytes], bits_per_key: int = 10) -> "Bloom":
+        probes, size = probes_for(bits_per_key), size_for(len(keys), bits_per_key)
+        bits = np.zeros(size, np.uint8)
+        bits[_places(keys, probes, size).ravel()] = 1
+        return Bloom(np.packbits(bits, bitorder="little").tobytes(), probes)
+
+    def dump(self) -> bytes:
+        """The bits and, in the last byte, the number of probes."""
+        return self.bits + bytes([self.probes])
+
+    @staticmethod
+    def load(data: bytes) -> "Bloom":
+        return Bloom(data[:-1], data[-1] if data else 0)
+
+    def may_hold(self, keys: list[bytes]) -> np.ndarray:
         """False where a key is certainly absent. A filter with more than 30 probes is of a later format: always True."""
         if self.probes > 30:
             return np.ones(len(keys), bool)
         if not self.bits:
             return np.zeros(len(keys), bool)
-        array = np.unpackbits(np.frombuffer(self.bits, np.uint8), bitorder="little")
-        return array[_places(keys, self.probes, len(array))].all(axis=1)
+        array = np.frombuffer(self.bits, np.uint8)
+        places = _places(keys, self.probes, 8 * len(array))
+        return (array[places >> 3] >> (places & 7).astype(np.uint8) & 1).all(axis=1)
 
 
 def probes_for(bits_per_key: int) -> int:
     return min(30, max(1, int(bits_per_key * 0.69)))
 
 
-def _places(keys: pd.Series, probes: int, size: int) -> np.ndarray:
-    """Double hashing: the hash, then steps of it rotated."""
+def size_for(count: int, bits_per_key: int) -> int:
+    """Bits of a filter, whole bytes; hashes have 32 bits, so more would stay unused."""
+    return min(1 << 32, max(64, -(-count * bits_per_key // 8) * 8))
+
+
+def _places(keys: list[bytes], probes: int, size: int) -> np.ndarray:
+    """Double hashing: the hash, then steps of it rotated, in 32 bits."""
     h = fnv1a_column(keys).astype(np.uint32)
     step = (h >> np.uint32(17)) | (h << np.uint32(15))
-    return (h[:, None] + step[:, None] * np.arange(probes, dtype=np.uint32)) % np.uint32(size)
+    return (h[:, None] + step[:, None] * np.arange(probes, dtype=np.uint32)).astype(np.int64) % size
 
 
-def build(keys: DataFrame, bits_per_key: int = 10, expected: int | None = None) -> Bloom:
-    """A filter of ``keys(user_key)``. Each task sends one bit array, whose size is fixed by the number of keys."""
-    count = keys.count() if expected is None else expected
-    probes, size = probes_for(bits_per_key), max(64, -(-count * bits_per_key // 8) * 8)
+def build(keys: DataFrame, bits_per_key: int = 10) -> DataFrame:
+    """``part, filter``: a filter of ``keys(user_key)`` in parts, each with the keys of one range of a hash.
 
-    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(size, np.uint8)
-        for part in parts:
-            bits[_places(part["user_key"], probes, size).ravel()] = 1
-        packed = np.packbits(bits, bitorder="little")
-        set_words = np.flatnonzero(packed)
-        yield pd.DataFrame({"word": set_words, "bits": packed[set_words].astype(np.int32)})
+    A part has about ``PART_KEYS`` keys, so neither the driver nor a task ever holds the bits of all keys,
+    and there is no limit to their number.
+    """
+    parts = max(1, -(-keys.count() // PART_KEYS))
+
+    def fill(rows: pa.Table) -> pa.Table:
+        made = Bloom.of(rows.column("user_key").to_pylist(), bits_per_key)
+        return pa.table({"part": rows.column("part")[:1], "filter": pa.array([made.dump()], pa.binary())})
+
+    return keys.select(part_of(F.col("user_key"), parts).alias("part"), "user_key").groupBy("part").applyInArrow(fill, "part int, filter binary")
+
+
+#: Keys of one part of a filter.
+PART_KEYS = 1 << 20
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
-    words = keys.select("user_key").mapInPandas(fill, "word long, bits int").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    packed = np.zeros(size // 8, np.uint8)
-    for row in words.toLocalIterator():  # the filter itself, size / 8 bytes
-        packed[row.word] = row.bits
-    return Bloom(packed.tobytes(), probes)
 
+def probe(rows: DataFrame, filters: DataFrame, name: str = "may_hold") -> DataFrame:
+    """``rows(user_key, ...)`` with a column that is false where the key is certainly absent, null for a null key.
 
-def probe(rows: DataFrame, bloom: Bloom, name: str = "may_hold") -> DataFrame:
-    """``rows(user_key, ...)`` with a column that is false where the key is certainly absent."""
+    ``filters`` comes from ``build``; rows meet the part that their keys belong to.
+    """
+    parts = (filters.agg(F.max("part").alias("last")).first().last or 0) + 1 if not filters.isEmpty() else 1
 
-    @F.pandas_udf("boolean")
-    def holds(keys: pd.Series) -> pd.Series:
-        return pd.Series(bloom.may_hold(keys))
+    @F.arrow_udf("boolean")
+    def holds(keys: pa.Array, filters: pa.Array) -> pa.Array:
+        out = np.zeros(len(keys), bool)
+        listed, encoded = keys.to_pylist(), filters.dictionary_encode()
+        which = encoded.indices.to_pylist()
+        for n, data in enumerate(encoded.dictionary.to_pylist()):
+            places = [i for i, w in enumerate(which) if w == n and listed[i] is not None]
+            out[places] = Bloom.load(data).may_hold([listed[i] for i in places])
+        return pa.array(out, mask=np.array([k is None for k in listed], bool))
 
-    return rows.withColumn(name, holds("user_key"))
+    met = rows.withColumn("_part", part_of(F.col("user_key"), parts)).join(filters.select(F.col("part").alias("_part"), F.col("filter").alias("_filter")), "_part", "left")
+    return met.withColumn(name, F.when(F.col("user_key").isNotNull(), F.coalesce(holds("user_key", "_filter"), F.lit(False)))).drop("_part", "_filter")

@@ -44,12 +44,12 @@ def throttled(compacted: int, written: int, l0_files: int, options: Options) ->
     backlog = options.backlog_factor if options.backlog_factor > 0 else 4
     if l0_files >= options.l0_compaction_trigger * backlog:
         return False
-    return options.max_write_amplification > 0 and compacted >= written * options.max_write_amplification
+    return options.max_write_amplification >= 0 and compacted >= written * options.max_write_amplification
 
 
 def throttled_column(compacted: Column, written: Column, l0_files: Column, options: Options) -> Column:
     backlog = options.backlog_factor if options.backlog_factor > 0 else 4
-    spent = (compacted >= written * options.max_write_amplification) & F.lit(options.max_write_amplification > 0)
+    spent = (compacted >= written * options.max_write_amplification) & F.lit(options.max_write_amplification >= 0)
     return spent & (l0_files < options.l0_compaction_trigger * backlog)
 
 

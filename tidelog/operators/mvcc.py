@@ -39,10 +39,12 @@ def marks(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """``user_key, seq, type`` of each key's newest record, for reads that need no values.
 
     Sequence and type are one number, so this is a hash aggregate (a value in the buffer would make it a
-    sort), and the scan does not read ``value``. Sequences below 2**55 fit.
+    sort), and the scan does not read ``value``. The number uses all 64 bits, so its top bit is turned
+    over while numbers are compared.
     """
-    packed = at(log, snapshot).groupBy("user_key").agg(F.max(pack(F.col("seq"), F.col("type"))).alias("packed"))
-    seq, kind = unpack(F.col("packed"))
+    top = F.lit(-(1 << 63))
+    packed = at(log, snapshot).groupBy("user_key").agg(F.max(pack(F.col("seq"), F.col("type")).bitwiseXOR(top)).alias("packed"))
+    seq, kind = unpack(F.col("packed").bitwiseXOR(top))
     return packed.select("user_key", seq.alias("seq"), kind.alias("type"))
 
 
@@ -65,13 +67,11 @@ def history(log: DataFrame) -> DataFrame:
 def retained(log: DataFrame, earliest_pin: int, bottom: bool = False) -> DataFrame:
     """What a compaction keeps so that no snapshot from ``earliest_pin`` on changes.
 
-    All records above the pin and the newest at or below it; at the bottom level a tombstone that is the
+    All records above the pin pass through; the newest at or below it is an aggregate, combined before its
+    shuffle, so the versions of a hot key are never sorted in one task. At the bottom level a tombstone that is the
     newest at or below the pin goes too, as nothing older is left for it to hide.
     """
-    old = F.col("seq") <= earliest_pin
-    order = Window.partitionBy("user_key", "_old").orderBy(F.col("seq").desc())
-    ranked = log.withColumn("_old", old).withColumn("_rank", F.row_number().over(order))
-    kept = ranked.where(~F.col("_old") | (F.col("_rank") == 1))
+    old = newest(log, earliest_pin)
     if bottom:
-        kept = kept.where(~(F.col("_old") & (F.col("type") == DELETE)))
-    return kept.drop("_old", "_rank")
+        old = old.where(F.col("type") != DELETE)
+    return log.select(*old.columns).where(F.col("seq") > earliest_pin).unionByName(old)

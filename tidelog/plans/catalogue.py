@@ -88,11 +88,6 @@ def scan_snapshot(spark, sf_dir):
     return mvcc.visible(events_log(spark, sf_dir), SNAPSHOT)
 
 
-@query(f"WITH {_EVENTS}, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM log WHERE seq <= least({MAX_SEQUENCE}, (SELECT max(seq) FROM log))) WHERE rn = 1), {_VISIBLE} SELECT * FROM vis")
-def scan_clamped_snapshot(spark, sf_dir):
-    return mvcc.visible(events_log(spark, sf_dir), MAX_SEQUENCE)
-
-
 @query(_visible_sql("SELECT * FROM vis", 0))
 def scan_snapshot_zero(spark, sf_dir):
     return mvcc.visible(events_log(spark, sf_dir), 0)
@@ -231,12 +226,6 @@ def batch_assign_seq(spark, sf_dir):
     return batch.exploded(_batches(spark, sf_dir), 100)
 
 
-@query("SELECT p.event_type AS batch_id, count(*) * 2 AS n FROM events p GROUP BY p.event_type")
-def batch_append(spark, sf_dir):
-    ops = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("batch_id")).agg(F.collect_list("event_id").alias("ops"))
-    return ops.select("batch_id", F.size(F.concat("ops", "ops")).cast("long").alias("n"))
-
-
 # runs and levels
 
 _META = "run_id, num_entries, file_size, smallest_key, largest_key, min_seq, max_seq"
@@ -303,8 +292,8 @@ def memory_usage(spark, sf_dir):
 @query(f"WITH {_EVENTS}, kept AS (SELECT *, row_number() OVER (PARTITION BY user_key, seq <= {PIN} ORDER BY seq DESC) AS rn FROM log) SELECT round(count(*) FILTER (seq > {PIN} OR rn = 1) / count(*), 9) AS ratio FROM kept")
 def write_amplification(spark, sf_dir):
     log = events_log(spark, sf_dir)
-    kept = mvcc.retained(log, PIN).agg(F.count("*").alias("kept"))
-    return log.agg(F.count("*").alias("all")).crossJoin(kept).select(F.round(compaction.write_amplification(F.col("kept"), F.col("all")), 9).alias("ratio"))
+    both = log.select(F.lit(0).alias("kept"), F.lit(1).alias("all")).unionAll(mvcc.retained(log, PIN).select(F.lit(1), F.lit(0)))
+    return both.agg(F.sum("kept").alias("kept"), F.sum("all").alias("all")).select(F.round(compaction.write_amplification(F.col("kept"), F.col("all")), 9).alias("ratio"))
 
 
 @query("SELECT coalesce(min(event_id) FILTER (event_type = 'purchase'), 72057594037927935) AS earliest FROM events")
@@ -352,15 +341,54 @@ def varint_length(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", keys.varint_length(F.col("o_orderkey")).alias("n"))
 
 
-@query("SELECT o_orderkey, o_orderkey AS back FROM orders")
+# of an integer and of a string
+_VARINT = (
+    "CASE WHEN {k} < 128 THEN printf('%02X', {k}) WHEN {k} < 16384 THEN printf('%02X%02X', ({k} & 127) | 128, {k} >> 7) "
+    "WHEN {k} < 2097152 THEN printf('%02X%02X%02X', ({k} & 127) | 128, (({k} >> 7) & 127) | 128, {k} >> 14) "
+    "ELSE printf('%02X%02X%02X%02X', ({k} & 127) | 128, (({k} >> 7) & 127) | 128, (({k} >> 14) & 127) | 128, {k} >> 21) END"
+)
+_BYTES = "list_transform(range(1, len({k}) + 1), lambda i: ascii(substr({k}, i, 1)))"
+_FNV = f"CAST(list_reduce({_BYTES}, lambda h, byte: (xor(h, byte) * 16777619) % 4294967296, 2166136261) AS BIGINT)"
+_CRC = (
+    f"CAST(xor(list_reduce({_BYTES}, lambda crc, byte: list_reduce(range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 2197175160) ELSE r >> 1 END, xor(crc, byte)), 4294967295), 4294967295) AS BIGINT)"
+)
+
+
+@query(f"SELECT o_orderkey, {_VARINT.format(k='o_orderkey')} AS encoded, o_orderkey AS back FROM orders")
 def varint_roundtrip(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", keys.read_varint_udf(keys.varint_udf("o_orderkey")).alias("back"))
+    encoded = keys.varint_column(F.col("o_orderkey"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.hex(encoded).alias("encoded"), keys.read_varint_column(encoded).alias("back"))
+
 
+@query("SELECT o_orderkey, (o_orderkey % 128) + 128 * (o_custkey % 128) AS value, CAST(NULL AS BIGINT) AS cut FROM orders")
+def varint_decode(spark, sf_dir):
+    """Two bytes made by hand, the first with its top bit set, and the first alone."""
+    low, high = F.lpad(F.hex(F.col("o_orderkey") % 128 + 128), 2, "0"), F.lpad(F.hex(F.col("o_custkey") % 128), 2, "0")
+    value, cut = keys.read_varint_column(F.unhex(F.concat(low, high))), keys.read_varint_column(F.unhex(low))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", value.alias("value"), cut.alias("cut"))
 
-@query("SELECT c_name, c_name AS back FROM customer")
+
+@query("SELECT c_name, printf('%02X', strlen(c_name)) || hex(c_name) AS framed, c_name AS back, left(c_name, 10) AS first, CAST(NULL AS VARCHAR) AS cut FROM customer")
 def length_prefix_roundtrip(spark, sf_dir):
-    framed = keys.length_prefixed_udf(F.col("c_name").cast("binary"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name", keys.read_length_prefixed_udf(framed).cast("string").alias("back"))
+    """A name framed, read back, read from a frame made by hand with more behind it, and from one that is cut off."""
+    name = F.col("c_name").cast("binary")
+    framed = keys.length_prefixed_column(name)
+    first, cut = (keys.read_length_prefixed_column(F.concat(F.unhex(F.lit(n)), name)).cast("string") for n in ("0A", "7F"))
+    back = keys.read_length_prefixed_column(framed).cast("string")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name", F.hex(framed).alias("framed"), back.alias("back"), first.alias("first"), cut.alias("cut"))
+
+
+@query(
+    "SELECT o_orderkey, printf('%02X%02X%02X%02X', o_orderkey & 255, (o_orderkey >> 8) & 255, (o_orderkey >> 16) & 255, (o_orderkey >> 24) & 255) AS fixed32, o_orderkey AS back32, "
+    "printf('%02X%02X%02X', o_orderkey & 255, (o_orderkey >> 8) & 255, (o_orderkey >> 16) & 255) || '0000000000' AS fixed64, -o_orderkey AS back64 FROM orders"
+)
+def fixed_codec(spark, sf_dir):
+    """Both widths encoded, and numbers read back from them, negative ones too."""
+    key = F.col("o_orderkey")
+    half, whole = keys.fixed_column(key, 32), keys.fixed_column(key)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", F.hex(half).alias("fixed32"), keys.read_fixed_column(half, 32).alias("back32"), F.hex(whole).alias("fixed64"), keys.read_fixed_column(keys.fixed_column(-key)).alias("back64")
+    )
 
 
 @query("SELECT o_orderkey, printf('%02X%02X%02X', o_orderkey & 255, (o_orderkey >> 8) & 255, (o_orderkey >> 16) & 255) || '0000000000' AS fixed FROM orders")
@@ -376,20 +404,57 @@ def slice_functions(spark, sf_dir):
     )
 
 
-@query()
+@query(f"SELECT c_custkey, {_CRC.format(k='c_name')} AS crc FROM customer")
 def crc32c_check(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", keys.crc32c_udf(F.col("c_name").cast("binary")).alias("crc"))
 
 
-@query()
+@query(f"SELECT c_custkey, {_FNV.format(k='c_name')} AS hash FROM customer")
+def bloom_hash(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", keys.fnv1a_udf(F.col("c_name").cast("binary")).alias("hash"))
+
+
+_PAIRS = "pairs AS (SELECT p_name AS key, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS after, p_partkey FROM part)"
+# the last place up to which two keys agree, and the byte behind it
+_SAME = f"same AS (SELECT *, list_max(list_filter(range(0, least(strlen(key), strlen(after)) + 1), lambda i: left(key, i) = left(after, i))) AS n FROM pairs WHERE after IS NOT NULL)"
+_SHORT = (
+    "short AS (SELECT *, CASE WHEN n < least(strlen(key), strlen(after)) AND ascii(substr(key, n + 1, 1)) + 1 < ascii(substr(after, n + 1, 1)) "
+    "THEN left(key, n) || chr(ascii(substr(key, n + 1, 1)) + 1) ELSE key END AS separator, chr(ascii(key) + 1) AS successor FROM same)"
+)
+
+
+@query(
+    f"WITH {_PAIRS}, {_SAME}, {_SHORT} SELECT p_partkey, separator, successor, CASE WHEN strlen(separator) < strlen(key) AND separator > key THEN separator || '@{MAX_SEQUENCE}' END AS internal, "
+    f"CASE WHEN strlen(successor) < strlen(key) THEN successor || '@{MAX_SEQUENCE}' END AS internal_successor FROM short"
+)
 def separator_check(spark, sf_dir):
-    """Shortened keys between each name and the one after it."""
-    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", F.lead("n_name").over(Window.orderBy("n_name")).alias("after")).where("after is not null")
-    short = keys.short_separator_udf(F.col("n_name").cast("binary"), F.col("after").cast("binary"))
-    return names.select("n_name", "after", short.cast("string").alias("separator"), keys.short_successor_udf(F.col("n_name").cast("binary")).cast("string").alias("successor"))
+    """Keys shortened between the name of each part and the next of its brand, plain and with sequences."""
+    order = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").cast("binary").alias("key"), F.lead("p_name").over(order).cast("binary").alias("after"))
+    key, after = F.col("key"), F.col("after")
+    text = lambda c: F.concat(c["user_key"].cast("string"), F.lit("@"), c["seq"].cast("string"))
+    return parts.where("after is not null").select(
+        "p_partkey",
+        keys.short_separator_column(key, after).cast("string").alias("separator"),
+        keys.short_successor_column(key).cast("string").alias("successor"),
+        text(keys.internal_separator_column(key, after)).alias("internal"),
+        text(keys.internal_successor_column(key)).alias("internal_successor"),
+    )
+
 
+_PROBES = bloom.probes_for(10)
 
-@query("SELECT printf('user:%08d', user_id) AS user_key, true AS may_hold FROM events GROUP BY user_id")
+
+@query(
+    f"WITH present AS (SELECT DISTINCT printf('user:%08d', user_id) AS user_key FROM events), size AS (SELECT greatest(64, (count(*) * 10 + 7) // 8 * 8) AS m FROM present), "
+    f"hashed AS (SELECT user_key, {_FNV.format(k='user_key')} AS h FROM present UNION ALL SELECT user_key, {_FNV.format(k='user_key')} FROM (SELECT printf('absent:%08d', user_id) AS user_key FROM events GROUP BY user_id)), "
+    f"probes AS (SELECT user_key, (h + j * ((h >> 17) | ((h << 15) & 4294967295))) % 4294967296 % m AS bit FROM hashed, size, range({_PROBES}) t(j)), "
+    "bits AS (SELECT DISTINCT bit FROM probes WHERE starts_with(user_key, 'user:')) "
+    "SELECT user_key, count(bits.bit) = count(*) AS may_hold FROM probes LEFT JOIN bits USING (bit) GROUP BY user_key"
+)
 def bloom_probe(spark, sf_dir):
-    present = events_log(spark, sf_dir).select(F.col("user_key").cast("binary").alias("user_key")).distinct()
-    return bloom.probe(present, bloom.build(present)).withColumn("user_key", F.col("user_key").cast("string"))
+    """A filter of the users, asked for all of them and for as many keys that are not there."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    named = lambda kind: users.select(F.format_string(f"{kind}:%08d", "user_id").cast("binary").alias("user_key"))
+    asked = named("user").unionAll(named("absent"))
+    return bloom.probe(asked, bloom.build(named("user"))).withColumn("user_key", F.col("user_key").cast("string"))

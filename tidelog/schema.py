@@ -62,10 +62,14 @@ class Options:
     max_level_bytes_multiplier: int = 10
     max_num_levels: int = 7
     max_records_per_file: int = 5_000_000
+    max_run_bytes: int = 1 << 30
+    #: Bytes compaction may write for each byte written; at 0 only a backlog lets it run, under 0 there is no bound.
     max_write_amplification: float = 1.0
     backlog_factor: int = 4
     comparator: str = BYTEWISE
     auto_compact: bool = False
+    #: After how long without a sign of life a writer's lock is void.
+    lease_seconds: float = 60.0
 
     def validate(self) -> None:
         bad = {
@@ -73,6 +77,8 @@ class Options:
             "l0_compaction_trigger": self.l0_compaction_trigger < 1,
             "max_level_bytes_multiplier": self.max_level_bytes_multiplier < 1,
             "max_num_levels": self.max_num_levels < 2,
+            "max_run_bytes": self.max_run_bytes < 1,
+            "lease_seconds": self.lease_seconds <= 0,
             "comparator": not self.comparator,
         }
         if any(bad.values()):

@@ -5,7 +5,7 @@ For moving data in from stores that keep such files, and out to them. Layouts, n
 * log: blocks of 32 KiB of fragments ``crc32c of type and payload (4), length (2), type (1), payload``, types
   1 whole, 2 first, 3 middle, 4 last; a rest of under 7 bytes in a block is zero.
 * batch: ``first sequence (8), count (4)``, then ``1 key value`` or ``0 key``, each length-prefixed.
-* table: data blocks, filter, filter index, index, footer of 48 bytes (two varint handles, zeros, 8 bytes of
+* table: data blocks, filter, filter index (``filter.`` and a name to its handle), index, footer of 48 bytes (two varint handles, zeros, 8 bytes of
   magic). A block is ``shared, rest, value length (varints), rest of the key, value`` for each entry, then the
   restart offsets and their number (4 each); behind it its crc32c (4) and a byte 1. Keys end in 8 bytes of
   ``sequence << 8 | type``.
@@ -13,12 +13,16 @@ For moving data in from stores that keep such files, and out to them. Layouts, n
 
 from __future__ import annotations
 
+import os
 import struct
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidelog.functions.bloom import Bloom
 from tidelog.functions.keys import crc32c, fixed32, fixed64, length_prefixed, read_length_prefixed, read_varint, varint
 from tidelog.schema import DELETE, LOG, PUT, Corruption
 
@@ -33,9 +37,23 @@ Row = tuple[bytes, int, int, bytes | None]
 # logs
 
 
-def log_payloads(data: bytes, verify: bool = True) -> Iterator[bytes]:
-    """The records of a log. A torn end, as a crash leaves it, is left out; damage before it is an error."""
+def log_payloads(data: bytes, verify: bool = True, report: Callable[[int, str], None] | None = None) -> Iterator[bytes]:
+    """The records of a log. A torn end, as a crash leaves it, is left out; damage before it is an error.
+
+    With ``report`` damage is not an error: it is told the bytes that are dropped and why, and reading goes
+    on at the next block.
+    """
     at, parts = 0, []
+
+    def damaged(reason: str) -> int:
+        """Where to go on behind damage in the fragment at ``at``."""
+        if report is None:
+            raise Corruption(reason)
+        after = min(len(data), at - at % BLOCK + BLOCK)
+        report(after - at + sum(map(len, parts)), reason)
+        parts.clear()
+        return after
+
     while at < len(data):
         left = BLOCK - at % BLOCK
         if left < HEADER:
@@ -48,14 +66,17 @@ def log_payloads(data: bytes, verify: bool = True) -> Iterator[bytes]:
             at += left
             continue
         if size > left - HEADER:
-            raise Corruption(f"fragment at {at} crosses its block")
+            at = damaged(f"fragment at {at} crosses its block")
+            continue
         payload = data[at + HEADER : at + HEADER + size]
         if len(payload) < size:
             return
         if verify and crc32c(bytes([kind]) + payload) != crc:
-            raise Corruption(f"fragment at {at} has a wrong checksum")
+            at = damaged(f"fragment at {at} has a wrong checksum")
+            continue
         if kind not in (WHOLE, FIRST, MIDDLE, LAST) or (kind in (WHOLE, FIRST)) == bool(parts):
-            raise Corruption(f"fragment at {at} is out of place")
+            at = damaged(f"fragment at {at} is out of place")
+            continue
         parts.append(payload)
         if kind in (WHOLE, LAST):
             yield b"".join(parts)
@@ -125,11 +146,12 @@ def _block(data: bytes, handle: tuple[int, int], verify: bool) -> bytes:
     return contents
 
 
-def _entries(contents: bytes) -> Iterator[tuple[bytes, bytes]]:
+def _entries(contents: bytes, at: int = 0) -> Iterator[tuple[bytes, bytes]]:
+    """The keys and values of a block from the restart ``at`` on."""
     if len(contents) < 4:
         raise Corruption("block is too short")
     restarts = struct.unpack_from("<I", contents, len(contents) - 4)[0]
-    end, at, key = len(contents) - 4 * (restarts + 1), 0, b""
+    end, key = len(contents) - 4 * (restarts + 1), b""
     if end < 0:
         raise Corruption("block has too many restarts")
     while at < end:
@@ -170,17 +192,26 @@ def table_rows(data: bytes, verify: bool = True) -> Iterator[Row]:
             yield key[:-8], packed >> 8, packed & 255, value if packed & 255 == PUT else None
 
 
-def _built(entries: list[tuple[bytes, bytes]]) -> bytes:
-    """A block with a restart at every entry."""
-    out, restarts = bytearray(), []
-    for key, value in entries:
-        restarts.append(len(out))
-        out += varint(0) + varint(len(key)) + varint(len(value)) + key + value
+#: Entries of a block from one whole key to the next.
+RESTART = 16
+
+
+def _built(entries: list[tuple[bytes, bytes]], every: int = RESTART) -> bytes:
+    """A block whose keys leave out what they share with the one before, but for each ``every``-th."""
+    out, restarts, before = bytearray(), [], b""
+    for n, (key, value) in enumerate(entries):
+        shared = 0
+        if n % every == 0:
+            restarts.append(len(out))
+        else:
+            shared = len(os.path.commonprefix([before, key]))
+        out += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
+        before = key
     return bytes(out) + b"".join(map(fixed32, restarts or [0])) + fixed32(max(1, len(restarts)))
 
 
-def encoded_table(rows: list[Row], block_size: int = 4096) -> bytes:
-    """A table of ``rows``, sorted here; without a filter, which readers take as one that lets all keys through."""
+def encoded_table(rows: list[Row], block_size: int = 4096, bits_per_key: int = 10, filter_name: str = "bloom") -> bytes:
+    """A table of ``rows``, sorted here; with a filter over its user keys unless ``bits_per_key`` is 0."""
     out, index, held, size = bytearray(), [], [], 0
 
     def put(contents: bytes) -> bytes:
@@ -200,14 +231,90 @@ def encoded_table(rows: list[Row], block_size: int = 4096) -> bytes:
         if size >= block_size:
             flush()
     flush()
-    filters = put(_built([]))
-    footer = filters + put(_built(index))
+    filters = []
+    if rows and bits_per_key > 0:
+        filters.append((b"filter." + filter_name.encode(), put(Bloom.of([r[0] for r in rows], bits_per_key).dump())))
+    footer = put(_built(filters)) + put(_built(index, 1))
     return bytes(out) + footer.ljust(FOOTER - 8, b"\0") + fixed64(MAGIC)
 
 
+def table_filter(data: bytes) -> Bloom | None:
+    """The filter of a table; None if it has none. A damaged one is an error, as it could hide keys."""
+    filters, _ = _handle(data, len(data) - FOOTER)
+    for name, handle in _entries(_block(data, filters, True)):
+        if name.startswith(b"filter."):
+            return Bloom.load(_block(data, _handle(handle, 0)[0], True))
+    return None
+
+
+def table_get(data: bytes, key: bytes, seq: int) -> Row | None:
+    """The newest record of ``key`` up to ``seq`` in a table, a tombstone too; None if there is none.
+
+    The filter first, then the one block that the index names, searched from its restarts.
+    """
+    found = table_filter(data)
+    if found is not None and not found.may_hold([key]).any():
+        return None
+    _, at = _handle(data, len(data) - FOOTER)
+    index, _ = _handle(data, at)
+    order = lambda k: (k[:-8], -struct.unpack("<Q", k[-8:])[0])
+    target = (key, -(seq << 8 | 255))
+    for last, handle in _entries(_block(data, index, True)):
+        if order(last) >= target:
+            for entry, value in block_seek(_block(data, _handle(handle, 0)[0], True), target):
+                packed = struct.unpack("<Q", entry[-8:])[0]
+                if entry[:-8] != key:
+                    return None
+                return key, packed >> 8, packed & 255, value if packed & 255 == PUT else None
+    return None
+
+
+def block_seek(contents: bytes, target: tuple[bytes, int]) -> Iterator[tuple[bytes, bytes]]:
+    """The entries of a block from ``target``, a user key and a negated tag, on; by halves over the restarts."""
+    count = struct.unpack_from("<I", contents, len(contents) - 4)[0]
+    end = len(contents) - 4 * (count + 1)
+    order = lambda k: (k[:-8], -struct.unpack("<Q", k[-8:])[0])
+    restarts = struct.unpack_from(f"<{count}I", contents, end)
+    low = bisect_left(restarts, True, key=lambda at: order(next(_entries(contents, at))[0]) >= target) if end else 0
+    for key, value in _entries(contents, restarts[max(0, low - 1)]):
+        if order(key) >= target:
+            yield key, value
+
+
 # manifest edits
 
 
+def encoded_edit(comparator: str | None = None, log_number: int | None = None, last_sequence: int | None = None, new_files: list[dict] = (), deleted_files: list[int] = ()) -> bytes:
+    """One edit. A new file is described by ``run_id, level, file_size``, its end keys and, for their tags, ``min_seq, max_seq``."""
+    out = bytearray()
+    if comparator is not None:
+        out += b"\1" + length_prefixed(comparator.encode())
+    if log_number is not None:
+        out += b"\2" + varint(log_number)
+    if last_sequence is not None:
+        out += b"\5" + varint(last_sequence)
+    for f in new_files:
+        out += b"\3" + varint(f["run_id"]) + varint(f["file_size"])
+        out += length_prefixed(f["smallest_key"] + fixed64(f.get("max_seq", 0) << 8 | PUT))
+        out += length_prefixed(f["largest_key"] + fixed64(f.get("min_seq", 0) << 8 | PUT))
+        if f.get("level", 0):
+            out += b"\6" + varint(f["level"])
+    for run_id in deleted_files:
+        out += b"\4" + varint(run_id)
+    return bytes(out)
+
+
+def live_runs(manifest: bytes) -> dict[int, dict]:
+    """The live tables of a manifest file by number, as its edits describe them."""
+    live: dict[int, dict] = {}
+    for payload in log_payloads(manifest):
+        edit = edit_fields(payload)
+        live |= {f["run_id"]: f for f in edit["new_files"]}
+        for run_id in edit["deleted_files"]:
+            live.pop(run_id, None)
+    return live
+
+
 def edit_fields(payload: bytes) -> dict:
     """``comparator, log_number, last_sequence, new_files, deleted_files`` of one edit; absent ones are None or empty."""
     found: dict = {"comparator": None, "log_number": None, "last_sequence": None, "new_files": [], "deleted_files": []}
@@ -270,6 +377,46 @@ def _read(spark: SparkSession, paths: list[str], parse) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, LOG)
 
 
+def _packed(log: DataFrame, run: str, encode: Callable[[list[Row]], bytes]) -> DataFrame:
+    """``run, content``: each run of ``log(user_key, seq, type, value)`` as one file's bytes. A run must fit into a task."""
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        listed = list(zip(*(rows.column(c).to_pylist() for c in LOG.names)))
+        return pa.table({"run": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([encode(listed)], pa.binary())})
+
+    return log.select(F.col(run).cast("long").alias("run"), *LOG.names).groupBy("run").applyInArrow(pack, "run long, content binary")
+
+
+def _write(packed: DataFrame, folder: str, suffix: str) -> list[str]:
+    """Write files, one at a time through the driver; returns their paths."""
+    from tidelog.sources.files import Files
+
+    files, names = Files(packed.sparkSession, folder), []
+    files.make_folder()
+    for row in packed.toLocalIterator():
+        name = f"{row.run:06d}{suffix}"
+        files.create(name, bytes(row.content))
+        names.append(f"{files.root}/{name}")
+    return names
+
+
+def write_tables(log: DataFrame, folder: str, run: str = "run_id", bits_per_key: int = 10) -> list[str]:
+    """Write each run of ``log`` as a sorted table file into ``folder``; returns the paths."""
+    return _write(_packed(log, run, lambda rows: encoded_table(rows, bits_per_key=bits_per_key)), folder, ".ldb")
+
+
+def _batches(rows: list[Row]) -> list[bytes]:
+    """Rows as batches of consecutive sequences."""
+    ordered = sorted(rows, key=lambda r: r[1])
+    cuts = [0, *(i for i in range(1, len(ordered)) if ordered[i][1] != ordered[i - 1][1] + 1), len(ordered)]
+    return [encoded_batch(ordered[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def write_logs(log: DataFrame, folder: str, run: str = "run_id") -> list[str]:
+    """Write each run of ``log`` as a file of framed batches into ``folder``; returns the paths."""
+    return _write(_packed(log, run, lambda rows: framed_log(_batches(rows))), folder, ".log")
+
+
 def read_tables(spark: SparkSession, *paths: str, verify: bool = True) -> DataFrame:
     """The log rows of table files, a file in a task."""
     return _read(spark, list(paths), lambda data: table_rows(data, verify))

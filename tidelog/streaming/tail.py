@@ -19,10 +19,14 @@ def read(spark: SparkSession, folder: str, max_files: int = 64) -> DataFrame:
 
 
 def apply_to(store: VersionedStore, ops: DataFrame, checkpoint: str, *order: str) -> StreamingQuery:
-    """Commit each micro-batch of ``ops(user_key, type, value, ...)`` as one write in ``order``."""
+    """Commit each micro-batch of ``ops(user_key, type, value, ...)`` as one write in ``order``, exactly once.
 
-    def commit(batch: DataFrame, _: int) -> None:
-        store.write_frame(batch, *order)
+    The commit names the stream, by its checkpoint, and the batch, so a batch that is tried again after it was
+    written is left out.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        store.write_frame(batch, *order, stream=(checkpoint, number))
 
     return ops.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
