@@ -55,8 +55,12 @@ def test_fingerprints_are_exact():
         assert fingerprint(text) % 2**64 == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("crowded", [1000, 1])
-def test_links_against_all_pairs(spark, crowded):
+def signed(fps):
+    return sorted(f - 2**64 if f >> 63 else f for f in fps)
+
+
+@pytest.mark.parametrize(("budget", "segment_bits"), [(4, 2), (4, 1), (2, 2)])
+def test_links_against_all_pairs(spark, budget, segment_bits):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = set(base)
@@ -66,12 +70,65 @@ def test_links_against_all_pairs(spark, crowded):
             for bit in rng.sample(range(64), rng.randrange(1, 8)):
                 f ^= 1 << bit
             fps.add(f)
-    signed = [f - 2**64 if f >> 63 else f for f in fps]
-    got = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), crowded=crowded)
-    pairs = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 4}
-    if crowded > 1:
-        assert {(r.u, r.v) for r in got.collect()} == pairs
-    assert plain_components(signed, [(r.u, r.v) for r in got.collect()]) == plain_components(signed, pairs)
+    fps = signed(fps)
+    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), budget, segment_bits).collect()}
+    pairs = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= budget}
+    assert got <= pairs and plain_components(fps, got) == plain_components(fps, pairs)
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+def test_links_of_dense_groups(spark):
+    """Near copies that differ in few bits: components as of all pairs, at rows in proportion to the group."""
+    rng, fps = random.Random(19), set()
+    for size in (3, 10, 50, 500, 5000):
+        base, active, group = rng.getrandbits(64), rng.sample(range(64), 24), set()
+        while len(group) < size:
+            f = base
+            for bit in rng.sample(active, rng.choice([1, 2, 3, 5, 9, 12])):
+                f ^= 1 << bit
+            group.add(f)
+        fps |= group
+    fps = signed(fps)
+    rows = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    want, left = {}, np.array(fps, np.int64)
+    while len(left):  # what is reached from the least node left, over all pairs
+        reached, wave, left = [int(left[0])], [left[0]], left[1:]
+        while wave:
+            near = np.bitwise_count((left ^ wave.pop()).view(np.uint64)) <= 4
+            wave += list(left[near])
+            reached += left[near].tolist()
+            left = left[~near]
+        want |= dict.fromkeys(reached, reached[0])
+    assert plain_components(fps, {(r.u, r.v) for r in rows}) == want
+    assert all(((r.u ^ r.v) % 2**64).bit_count() <= 4 for r in rows)
+    assert len(rows) <= len(fps) * (2 * 70 * simhash.HUBS + 2081)
+
+
+def test_spots_with_many_components_go_to_meeting_points(spark, monkeypatch):
+    """Nodes that share a half and lie apart in pairs, so that no few hubs settle their spot."""
+    rng = random.Random(18)
+    called = []
+    plain = simhash._through_points
+    monkeypatch.setattr(simhash, "_through_points", lambda *a: called.append(1) or plain(*a))
+    half, fps = rng.getrandbits(32) << 32, set()
+    for _ in range(60):
+        f = half | rng.getrandbits(32)
+        fps |= {f, f ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32)}
+    fps = signed(fps)
+    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    pairs = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= 4}
+    assert called and got <= pairs and plain_components(fps, got) == plain_components(fps, pairs)
+
+
+def test_codes_differ_as_bit_counts_do(spark):
+    rng = random.Random(16)
+    fps = signed({rng.getrandbits(64) for _ in range(50)})
+    codes = [r[0] % 2**64 for r in spark.createDataFrame([(f,) for f in fps], "fp long").select(simhash.embedded(F.col("fp"))).collect()]
+    counts = [[(f >> at & 3).bit_count() for at in range(0, 64, 2)] for f in fps]
+    for a, x in zip(codes, counts):
+        for b, y in zip(codes, counts):
+            assert (a ^ b).bit_count() == sum(abs(i - j) for i, j in zip(x, y))
 
 
 def plain_components(nodes, edges):
@@ -144,6 +201,23 @@ def test_license_scan_finds_what_all_windows_hold(spark):
         license_scan.scan(rows, {"short": "too few words"})
 
 
+@pytest.mark.parametrize("doc_id", [1, None])
+def test_rows_of_one_id_are_scanned_each(spark, doc_id):
+    mit = license_scan.TEMPLATES["MIT-text"]
+    part = mit[: len(mit) * 55 // 100]
+    for texts in ([part, mit, None], [None, mit, part], [part, mit, mit, part]):
+        rows = documents(spark, *[(doc_id, t, "s") for t in texts])
+        assert [tuple(r) for r in license_scan.scan(rows).where("license = 'MIT-text'").collect()] == [(doc_id, "MIT-text", 1.0, 0)]
+
+
+def test_a_text_of_a_million_words_is_scanned(spark):
+    rng = random.Random(17)
+    text = prose(rng, 600_000) + " " + license_scan.TEMPLATES["ISC"] + " " + prose(rng, 400_000) + " Released under the MIT License."
+    got = {r.license: r for r in license_scan.scan(documents(spark, text)).collect()}
+    assert set(got) == {"ISC", "MIT"} and got["ISC"].containment == got["MIT"].containment == 1
+    assert abs(got["ISC"].first_word - 600_000) <= 10
+
+
 # decontamination
 
 
@@ -378,6 +452,29 @@ def test_forms_that_hold_the_page_are_kept():
     assert html_text.main_text("<form><h1>Sign up</h1><p>Name</p></form><p>Text of the page.</p>") == "Text of the page."
 
 
+def test_sibling_blocks_of_one_article_stay():
+    block = lambda k, n: "<div>" + "".join(f"<p>Section {k} line {i} " + "goes on about the matter for some time " * 4 + "</p>" for i in range(n)) + "</div>"
+    got = html_text.main_text(f"<body><h1>Title</h1><div>A lead that says in a few words what the piece is about.</div>{block(1, 5)}{block(2, 4)}</body>").split("\n")
+    assert got[:2] == ["Title", "A lead that says in a few words what the piece is about."] and len(got) == 11
+
+
+def test_an_article_is_kept_whatever_its_class():
+    assert html_text.main_text('<article class="post-comment-free"><p>One.</p><p>Two.</p></article>') == "One.\nTwo."
+    two = "<article><p>Text of the page.</p></article><article class=comment><p>nice</p></article>"
+    assert html_text.main_text(two) == "Text of the page."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p class=it's>Hello</p><p>we don't</p><p>tail</p>", "Hello\nwe don't\ntail"), ("<p title='a > b' class=\"x\">one</p><p>two</p>", "one\ntwo"),
+        ('<p title="class=sidebar">kept</p><p>two</p>', "kept\ntwo"), ("<p =x y = z / >one</p>", "one"), ('<p class="never closed>a</p><p>b</p>', "a\nb"), ("<br/>x<p/>y", "x\ny"),
+    ],
+)
+def test_attributes(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_extracted_rows(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = spark.createDataFrame([(1, "u", "<p>x</p>", "q"), (1, "u", "<p>x</p>", "q"), (None, None, None, None), (3, "v", deep, "q")], "page_id long, url string, html string, text string")
@@ -525,6 +622,20 @@ def test_shared_folder_follows_the_session():
 
     from tidelog.llm.common import shared_folder
 
-    named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "hdfs://x/shared/"))
-    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d))
-    assert shared_folder(named, "t").startswith("hdfs://x/shared/t-") and shared_folder(unnamed, "t").startswith("file:///")
+    session = lambda master, root: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: root), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("spark://x", "hdfs://x/shared/"), "t").startswith("hdfs://x/shared/t-")
+    assert shared_folder(session("local[4]", None), "t").startswith("file:///")
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://x", None), "t")
+
+
+def test_training_samples_are_bounded_in_bytes(spark):
+    from tidelog.llm.common import labelled_texts
+
+    docs, marks = labelled(spark)
+    whole = labelled_texts(docs, marks, "toxic", 3, 1, 50).collect()
+    some = labelled_texts(docs, marks, "toxic", 3, 1, 50, 10_000).collect()
+    for label in (0, 1):
+        every, taken = ([r for r in rows if r.label == label] for rows in (whole, some))
+        assert set(taken) < set(every) and len(every) == 50
+        assert 10_000 <= sum(len(r.text) for r in taken) < 10_000 + max(len(r.text) for r in every)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import shutil
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tidelog.llm import decontaminate, mixing, records, registry, toxicity
+from tidelog.llm import mixing, records, registry, toxicity
 from tidelog.llm.simhash_kernel import fingerprint
 
 DIR = "/root/testdata/sf0.001"
@@ -58,12 +59,30 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r.doc_id for r in after.collect()) == sorted(set(group.values()))
 
 
+def least_edits(item, text):
+    """The least edit distance of ``item`` to any part of ``text``, a row of the table at a time."""
+    letters, places = np.array(list(map(ord, text))), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(item, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (letters != ord(c)))])
+        row = np.minimum.accumulate(new - places) + places
+    return row.min()
+
+
 def test_leaks_go(spark, stages):
     before, after = stages[2]
-    items = [(i, t) for b in decontaminate.blocks(spark.read.parquet(f"{DIR}/benchmark.parquet")) for i, t in b]
-    clean = [r.doc_id for r in before.collect() if not any(t in decontaminate.normal(r.text) for _, t in items)]
-    kept = [r.doc_id for r in after.collect()]
-    assert set(kept) <= set(clean) and len(kept) >= 0.98 * len(clean)
+    plain = lambda t: " ".join((t or "").lower().split())
+    items = [plain(r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    grams = lambda t: {t[i : i + 10] for i in range(len(t) - 9)}
+    known, want = [grams(t) for t in items], []
+    for r in before.collect():
+        text = plain(r.text)
+        have = grams(text)
+        # 8 edits in 100 leave at least one run of 11 letters of the item as they are
+        near = [t for t, g in zip(items, known) if have & g]
+        if not any(t in text or least_edits(t, text) <= int(0.08 * len(t)) for t in near if t):
+            want.append(r.doc_id)
+    assert sorted(r.doc_id for r in after.collect()) == sorted(want) and len(want) < before.count()
 
 
 def test_copies_follow_the_mix(stages):
@@ -91,13 +110,20 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_the_rest_works_without_this_package(tmp_path):
+@pytest.mark.parametrize("kept", [("corpus_pipeline.py",), ()])
+@pytest.mark.parametrize("left", [True, False])
+def test_the_rest_works_without_this_package(tmp_path, kept, left):
+    """Also where the pipeline stays, in a folder of its own or on the path, and where an empty folder stays."""
+    import os
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__spark_entry__.__file__).parent
     shutil.copytree(root / "tidelog", tmp_path / "tidelog", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    for name in ("__spark_entry__.py", *kept):
+        shutil.copy(root / name, tmp_path)
+    if left:
+        (tmp_path / "tidelog/llm/__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and not any(n.startswith('op') and n[2:3].isdigit() for n in q) and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env=os.environ | {"PYTHONPATH": str(root) if not kept else ""})
