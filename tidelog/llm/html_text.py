@@ -6,9 +6,12 @@ blocks on which the path from the body is at least as dense as the body itself,
 largest sum is the core of the article, and the least density on its path the threshold. The article is
 the highest block on the path that holds another block of the threshold's density, a heading of the page
 or is marked up as an article; lists of links that stay under the threshold beside the core are left
-out. What is never article text, such as scripts, navigation, adverts, forms and
-comments, is taken out before, by element and by the words of its class, id and role, unless such an
-element holds the page itself, as a frame called "with-sidebar" or a form around the whole body does.
+out.
+
+Densities are of the page as it is, with its menus, adverts and comments; only what no reader sees as
+text, such as scripts and form controls, has none. Elements and the words of class, id and role then say
+what is no part of an article: such a block is never the core, and is left out of the article it lies in,
+unless it holds the page itself, as a frame called "with-sidebar" or a form around the whole body does.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ RAW = frozenset("script style title textarea xmp noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split()
 )
-SKIPPED = frozenset(
-    "script style title textarea xmp noframes head nav footer button select option fieldset input label noscript template iframe object svg canvas audio video map dialog menu".split()
-)
-# Elements that are taken out unless they hold the page.
+# Elements without text of their own, and those that are no part of an article.
+SKIPPED = frozenset("script style title textarea xmp noframes head select option input noscript template iframe object svg canvas audio video map".split())
+APART = frozenset("nav footer button fieldset label dialog menu".split())
+# Elements that are left out unless they hold the page.
 JUDGED = frozenset("header aside form".split())
 CLOSED_BY_BLOCK = frozenset("p".split())
 # Elements that end an open one of the same kind.
@@ -46,8 +49,11 @@ MARKS = frozenset(
     "comment comments respond reply replies disqus discussion share sharing social related recommended newsletter subscribe signup login form pagination pager toolbar widget".split()
 )
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+# A value may stand without quotes, and quotes within it or within a name are characters like any other.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)"""
+_PAIR = rf"[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+"
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/=]++|{_PAIR})*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(rf"([^\s/>=]++)(?:\s*+=\s*+({_VALUE})?+)?+")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -57,6 +63,7 @@ class Node:
     parent: "Node | None" = None
     skipped: bool = False
     suspect: bool = False  # marked by its attributes, or an element of JUDGED
+    apart: bool = False  # no part of an article
     parts: list = field(default_factory=list)  # child blocks, and runs of text as [text, is linked]
     links: int = 0
     chars: int = 0
@@ -68,7 +75,7 @@ class Node:
 
 
 def _marked(attributes: str) -> bool:
-    for name, value in _NAMED.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -135,7 +142,7 @@ def parse(page: str) -> Node:
                 anchor += 1
                 node.links += not node.skipped
             continue
-        child = Node(name, node, skipped=node.skipped or name in SKIPPED, suspect=suspect or name in JUDGED)
+        child = Node(name, node, skipped=node.skipped or name in SKIPPED, suspect=suspect or name in JUDGED, apart=name in APART)
         node.parts.append(child)
         open_tags.append((name, child))
         node = child
@@ -145,18 +152,20 @@ def parse(page: str) -> Node:
 
 
 def _judge(root: Node) -> None:
-    """Take out suspects, but not those that hold the page: a main element, or a heading and two paragraphs."""
+    """Set suspects apart, but not those that hold the page: the only article, a main element, or a heading and two paragraphs."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(p for p in node.parts if isinstance(p, Node))
     seen = {id(n): [n.tag == "main", n.tag == "h1", n.tag == "p"] for n in order}
+    articles = sum(n.tag == "article" for n in order)
     for node in reversed(order):
         mains, heads, paragraphs = seen[id(node)]
-        if node.suspect and not mains and not (heads and paragraphs >= 2):
-            node.skipped = True
-        if node.parent is not None and not node.skipped:
+        only = node.tag == "article" and articles == 1
+        if node.suspect and not only and not mains and not (heads and paragraphs >= 2):
+            node.apart = True
+        if node.parent is not None and not node.skipped and not node.apart:
             above = seen[id(node.parent)]
             for i, n in enumerate(seen[id(node)]):
                 above[i] += n
@@ -216,19 +225,27 @@ def density(node: Node, body: Node) -> float:
     return node.chars / max(1, node.tags) * math.log(max(inside, 1.0)) / math.log(max(base, 1.0 + 1e-9))
 
 
-def article(root: Node) -> Node:
-    """The block that holds all of the article: the core, the dense blocks beside it and what lies between."""
-    order = _measure(root)
-    dense = {id(root)}
-    best = root
+def core(root: Node, order: list[Node] | None = None) -> Node:
+    """Of the blocks that are dense all the way from the body, the one with the largest sum of densities."""
+    order = _measure(root) if order is None else order
+    dense, best = {id(root)}, root
     for node in order:
-        if node is root:
+        if node is root or node.apart:
             continue
         if id(node.parent) in dense and node.density >= root.density:
             dense.add(id(node))
             if node.total > best.total or (best is root and node.total >= root.total):
                 best = node
-    return _whole(best, root, order)
+    return best
+
+
+def article(root: Node) -> Node:
+    """The block that holds all of the article: the core, the dense blocks beside it and what lies between."""
+    order = _measure(root)
+    found = _whole(core(root, order), root, order)
+    for node in order:
+        node.skipped |= node.apart
+    return found
 
 
 def _whole(core: Node, root: Node, order: list[Node]) -> Node:
@@ -239,11 +256,11 @@ def _whole(core: Node, root: Node, order: list[Node]) -> Node:
     threshold = min(n.density for n in path)
     peak = {id(n): n.density for n in order}  # the densest block within each
     for node in reversed(order):
-        if node is not root:
+        if node is not root and not node.apart:
             peak[id(node.parent)] = max(peak[id(node.parent)], peak[id(node)])
     top = 0
     for i, node in enumerate(path[1:], 1):
-        others = [p for p in node.parts if isinstance(p, Node) and not p.skipped and p.chars and p is not path[i - 1]]
+        others = [p for p in node.parts if isinstance(p, Node) and not p.skipped and not p.apart and p.chars and p is not path[i - 1]]
         runs = [(len(_clean(p[0])), p[1]) for p in node.parts if not isinstance(p, Node)]
         loose = Node("", chars=sum(n for n, _ in runs), linked=sum(n * linked for n, linked in runs), tags=node.links, link_tags=node.links)
         dense = any(peak[id(p)] >= threshold for p in others) or (loose.chars and density(loose, root) >= threshold)
@@ -254,7 +271,7 @@ def _whole(core: Node, root: Node, order: list[Node]) -> Node:
     stack = [path[top]]
     while stack:
         for p in stack.pop().parts:
-            if isinstance(p, Node) and not p.skipped and p is not core:
+            if isinstance(p, Node) and not p.skipped and not p.apart and p is not core:
                 if id(p) not in beside and peak[id(p)] < threshold and p.link_tags > 2 and 2 * p.linked > p.chars:
                     p.skipped = True
                 else:
