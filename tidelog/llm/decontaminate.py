@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import SLICE, map_rows, table
+from tidelog.llm.common import SLICE, map_rows, settled, table
 
 #: Edits a character of an item may take: 20 in 250, three or four changed words.
 RATE = 0.08
-#: Characters of items that one automaton is built for; more items are searched in as many passes.
+#: Characters of items that one automaton is built for and the driver holds at once; more items are searched in as many passes.
 BLOCK_CHARS = 4_000_000
 
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())])
@@ -158,18 +158,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     Repeated documents come out as often as they went in, an item id with several texts with each that
     is found. Empty tables give no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    found = spark.createDataFrame([], FOUND)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for block in blocks(benchmark):
+
+    def search(block: list[tuple[int, str]]) -> DataFrame:
         finder = _lazy(block, rate)
 
-        def kernel(columns: list, finder=finder) -> list:
+        def kernel(columns: list) -> list:
             hits = [(i, item, d) for i, t in zip(*columns) for item, d in finder().find(t)]
             return [list(c) for c in zip(*hits)] if hits else [[], [], []]
 
-        found = found.unionAll(map_rows(narrow, kernel, ["doc_id", "text"], FOUND))
-    return found
+        return map_rows(narrow, kernel, ["doc_id", "text"], FOUND)
+
+    found = None
+    for block, last in _with_last(blocks(benchmark)):
+        here = search(block)
+        if not last:  # the block's items are done with before those of the next come
+            here = settled(here, "leaks")
+        found = here if found is None else found.unionAll(here)
+    return docs.sparkSession.createDataFrame([], FOUND) if found is None else found
+
+
+def _with_last(parts: Iterator) -> Iterator[tuple]:
+    """Each of ``parts`` and whether it is the last."""
+    held = None
+    for part in parts:
+        if held is not None:
+            yield held, False
+        held = part
+    if held is not None:
+        yield held, True
 
 
 def _lazy(block: list[tuple[int, str]], rate: float):
@@ -187,7 +204,7 @@ def _lazy(block: list[tuple[int, str]], rate: float):
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs``, with its columns, that hold no item of ``benchmark``."""
     at = docs.columns.index("text")
-    for block in blocks(benchmark):
+    for block, last in _with_last(blocks(benchmark)):
         finder = _lazy(block, rate)
 
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
@@ -198,6 +215,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
                     yield part.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = settled(docs, "clean")
     return docs
 
 
