@@ -23,9 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import SLICE, settled, shared_folder, table
+from tidelog.llm.common import SLICE, shared_folder, table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
+#: Folders of the records and of their index within that of a data set.
+RECORDS, INDEXED = "records", "index"
+#: Bytes of text for one file of records; a file is read back as one cell, of half that size or so.
+FILE_BYTES = 64 << 20
 #: White-space separated pieces whose ids a worker keeps, then it starts anew.
 CACHE = 300_000
 
@@ -165,17 +169,20 @@ def _encoder(vocabulary: str, end_id: int) -> Encoder:
     return _encoders[vocabulary, end_id]
 
 
-def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> str:
+def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> str:
     """Write ``docs(doc_id, text, ...)`` as records in ascending order of ids; returns the folder.
 
-    Null and empty texts give the end id alone. Null ids come first; of equal ids the order follows from
-    a hash of the text.
+    The records lie in its folder ``records``, in files of about ``file_bytes`` bytes of text each, however
+    many partitions ``docs`` has. Null and empty texts give the end id alone. Null ids come first; of equal
+    ids the order follows from a hash of the text.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "records")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
+    files = max(1, -(-size // file_bytes))
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, end_id)
@@ -188,7 +195,7 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -
 
     written = ordered.mapInArrow(run, "value binary")
     # the line writer puts the bytes as they are, and a line feed, the record's last byte, behind them
-    written.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
+    written.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/{RECORDS}")
     return folder
 
 
@@ -200,7 +207,7 @@ INDEX = T.StructType([
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
-    """The offset index of ``folder``, read from its files and written beside them.
+    """The offset index of ``folder``, read from its files and written beside them, in its folder ``index``.
 
     ``file, offset, length`` say where a record lies, ``before`` how many ids of its file come before it;
     ``n_tokens, ids_crc32`` are of the ids read.
@@ -222,8 +229,14 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
                     at = after
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    return settled(files.mapInArrow(run, INDEX), "record-index")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{RECORDS}").select("path", "content")
+    files.mapInArrow(run, INDEX).write.parquet(f"{folder}/{INDEXED}")
+    return read_index(spark, folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The offset index that lies beside the records of ``folder``."""
+    return spark.read.schema(INDEX).parquet(f"{folder}/{INDEXED}")
 
 
 def placed(found: DataFrame) -> DataFrame:
