@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.sources.scratch import scratch_folder
+
 #: Rows of one Arrow batch that a kernel turns into Python objects at a time.
 SLICE = 256
 
@@ -21,18 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and every executor can reach.
-
-    It lies in ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a
-    temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@lru_cache(1)
-def _local_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
+    """A new folder that the driver and every executor can reach, in ``spark.checkpoint.dir``; see ``scratch_folder``."""
+    return scratch_folder(spark, name)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -70,12 +59,13 @@ def fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int, class_bytes: int | None = None) -> DataFrame:
     """A bounded training sample: ``doc_id, label, text`` of at most ``per_class`` documents of each class.
 
     Rows with a null id or label, and those of the held-out fold, are never used. Which ids are taken
     follows from a hash of the id, so reruns agree. An id with several labels counts with the largest,
-    an id with several texts with the smallest.
+    an id with several texts with the smallest. With ``class_bytes`` the documents of a class are taken
+    whole, in the order of the hash, until they have that many bytes.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(modulus) != held_out))
@@ -84,9 +74,13 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     bounded = ids.where("label = 0").orderBy(*order).limit(per_class).unionAll(ids.where("label = 1").orderBy(*order).limit(per_class))
-    return (
+    texts = (
         docs.select("doc_id", "text")
         .join(F.broadcast(bounded), "doc_id")  # 2 * per_class rows of an id and a label at most
         .groupBy("doc_id", "label")
         .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     )
+    if class_bytes is None:
+        return texts
+    before = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # per_class rows at most
+    return texts.withColumn("_before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("_before") < class_bytes).drop("_before")

@@ -19,7 +19,7 @@ GRAM_SIZES = (3, 4, 5)
 #: Characters of a word at most; longer ones are cut into pieces that share ``max(GRAM_SIZES) - 1`` characters, so that every n-gram is in one.
 WORD_CHARS = 64
 INPUT, HIDDEN = 16, 8
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 
 #: ASCII letters in lower case, digits and all other UTF-8 bytes kept, the rest a space.
 _PLAIN = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b >= 128 else 32 for b in range(256))

@@ -19,8 +19,8 @@ from tidelog.llm import gru
 from tidelog.llm.common import arrow_schema, fold, labelled_texts, table
 
 THRESHOLD = 0.7
-#: Training documents of each class at most, and words of either class at most (whole documents up to there).
-PER_CLASS, CLASS_WORDS = 3000, 1_200_000
+#: Training documents of each class at most, and bytes and words of either class at most (whole documents up to there).
+PER_CLASS, CLASS_BYTES, CLASS_WORDS = 3000, 16 << 20, 1_200_000
 EPOCHS, SEED = 5, 11
 
 
@@ -103,7 +103,7 @@ def model_of(docs: DataFrame, labels: DataFrame) -> tuple[gru.Weights, float, fl
         rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
 
-    sample = labelled_texts(docs, labels, "toxic", 3, 1, PER_CLASS).select("doc_id", "label", "text")
+    sample = labelled_texts(docs, labels, "toxic", 3, 1, PER_CLASS, CLASS_BYTES).select("doc_id", "label", "text")
     made = sample.coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0].model) if made else fit([])
 
@@ -111,7 +111,7 @@ def model_of(docs: DataFrame, labels: DataFrame) -> tuple[gru.Weights, float, fl
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Labels with a null id or value are left out, those of one id count with the largest. A null id is
+    Null and empty texts score like any text without words. Labels with a null id or value are left out, those of one id count with the largest. A null id is
     not held out. Repeated rows come out as often as they went in; empty tables give no rows, and
     without labels of both classes the score is a constant. Columns other than ``doc_id`` and ``text``
     play no part.
