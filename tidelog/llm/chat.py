@@ -113,7 +113,8 @@ def formatted(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
     """``conv_id, turn, input_ids, loss_mask``: the tokens of every turn of ``conversations(conv_id, turn, role, text)``.
 
     A conversation's tokens are those of its turns in order and the id of ``</s>``. Null roles and texts
-    are empty. Rows are encoded where they lie, so a long conversation is spread over tasks.
+    are empty. Rows are encoded where they lie, so a long conversation is spread over tasks. Repeated rows
+    are turns of their own, each as often as it comes; an empty table gives no rows. Other columns are ignored.
     """
 
     def kernel(columns: list) -> list:
@@ -153,7 +154,8 @@ def digests(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each conversation, read back from the tokens of its turns.
 
     Turns go by ``turn``, null last; equal turns by their tokens. Rows with a null ``conv_id`` are one
-    conversation. The turns of a conversation stream through one task, a batch at a time.
+    conversation. Repeated turns count each. An empty table gives no rows. The turns of a conversation stream
+    through one task, a batch at a time, as a running digest needs them in order.
     """
     ordered = turns.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_last(), "input_ids")
 
