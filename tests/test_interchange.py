@@ -43,6 +43,57 @@ def test_tables_round_trip_and_notice_damage():
             list(x.table_rows(bad))
 
 
+def test_damage_is_reported_and_passed_over():
+    records = [b"a" * 5, b"b" * 40_000, b"c" * 10, b"d" * 40_000, b"end"]
+    data = x.framed_log(records)
+    lost = []
+    broken = data[:20] + bytes([data[20] ^ 1]) + data[21:]  # in the second record, in the first block
+    assert list(x.log_payloads(broken, report=lambda n, why: lost.append((n, why)))) == [records[0], *records[2:]]
+    assert [n for n, _ in lost] == [x.BLOCK - 12, 40_000 - (x.BLOCK - 12 - x.HEADER)]
+    assert list(x.log_payloads(data, report=lambda *_: lost.append(1))) == records and 1 not in lost
+
+
+def test_points_of_a_table():
+    rng = random.Random(3)
+    keys = [b"key%04d" % rng.randrange(800) for _ in range(1500)]
+    rows = [(k, s, int(rng.random() < 0.8), None) for s, k in enumerate(keys, 1)]
+    rows = [(k, s, t, b"v%d" % s if t else None) for k, s, t, _ in rows]
+    for policy in (x.BloomPolicy(), x.BloomPolicy(1), None):
+        data = x.encoded_table(rows, 700, policy)
+        assert list(x.table_rows(data)) == sorted(rows, key=lambda r: (r[0], -r[1]))
+        for _ in range(60):
+            key, seq = b"key%04d" % rng.randrange(900), rng.randrange(1600)
+            want = max((r for r in rows if r[0] == key and r[1] <= seq), key=lambda r: r[1], default=None)
+            assert x.table_get(data, key, seq, policy) == want
+        assert x.table_get(data, b"", 9, policy) is None and x.table_get(data, b"zzz", 9, policy) is None
+        assert (x.table_filter(data) is None) == (policy is None)
+        assert x.table_get(data, keys[0], 2000, x.BloomPolicy(10, "another")) is not None
+
+
+def test_a_policy_of_ones_own():
+    class First:
+        name = "first letters"
+
+        def create(self, keys):
+            return bytes(sorted({k[0] for k in keys}))
+
+        def may_hold(self, key, data):
+            return key[0] in data
+
+    data = x.encoded_table([(b"a1", 1, 1, b"x"), (b"c1", 2, 1, b"y")], policy=First())
+    assert x.table_filter(data, "first letters") == b"ac" and x.table_get(data, b"c1", 5, First()) == (b"c1", 2, 1, b"y")
+    assert x.table_get(data, b"b", 5, First()) is None
+
+
+def test_edits_round_trip():
+    run = {"run_id": 300, "level": 2, "file_size": 1 << 40, "smallest_key": b"a", "largest_key": b"z\xff"}
+    edit = x.encoded_edit("bytewise", 7, 99, [run | {"min_seq": 1, "max_seq": 99}, run | {"run_id": 5, "level": 0}], [4, 1000])
+    assert x.edit_fields(edit) == {"comparator": "bytewise", "log_number": 7, "last_sequence": 99, "new_files": [run, run | {"run_id": 5, "level": 0}], "deleted_files": [4, 1000]}
+    assert x.edit_fields(x.encoded_edit()) == x.edit_fields(b"")
+    log = x.framed_log([edit, x.encoded_edit(deleted_files=[5])])
+    assert set(x.live_runs(log)) == {300} and x.live_tables(log)[0] == {300}
+
+
 def test_prefix_compressed_entries():
     entries = b"\0\x03\x01abcX" + b"\x02\x02\x01deY"
     assert list(x._entries(entries + b"\0\0\0\0\1\0\0\0")) == [(b"abc", b"X"), (b"abde", b"Y")]

@@ -183,6 +183,31 @@ def test_a_file_is_created_once(spark, root):
     assert not files.create("manifest/b", b"ours", meanwhile) and files.read("manifest/b") == b"theirs"
 
 
+def test_files_that_fail(spark, root):
+    """A store over files of one's own: a failed commit is an error, and nothing of it stays."""
+    from tidelog.sources.files import Files
+
+    class Failing(Files):
+        broken = False
+
+        def create(self, name, *rest):
+            if self.broken and name.startswith("manifest/"):
+                raise IOFailure("disk full")
+            return super().create(name, *rest)
+
+    files = Failing(spark, root)
+    with VersionedStore.open(spark, root, NEW, files=files) as s:
+        s.put(b"a", b"1")
+        files.broken = True
+        for act in (lambda: s.put(b"b", b"2"), s.flush):
+            with pytest.raises(IOFailure):
+                act()
+        files.broken = False
+        assert s.get(b"a") == b"1" and s.put(b"c", b"3") == 2
+    with VersionedStore.open(spark, root) as s:
+        assert pairs(s.scan()) == [("a", "1"), ("c", "3")] and not [n for n in s.files.names() if n.startswith("run-")]
+
+
 def test_compaction_leaves_other_ranges_alone(spark, root):
     from dataclasses import replace
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,29 @@ class Bloom:
         return (array[places >> 3] >> (places & 7).astype(np.uint8) & 1).all(axis=1)
 
 
+class FilterPolicy(Protocol):
+    """How the filter of a table is made and asked. ``name`` is stored with it; other names are not asked."""
+
+    name: str
+
+    def create(self, keys: list[bytes]) -> bytes: ...
+
+    def may_hold(self, key: bytes, data: bytes) -> bool:
+        """False only where ``key`` is certainly absent."""
+
+
+@dataclass(frozen=True)
+class BloomPolicy:
+    bits_per_key: int = 10
+    name: str = "bloom"
+
+    def create(self, keys: list[bytes]) -> bytes:
+        return Bloom.of(keys, self.bits_per_key).dump()
+
+    def may_hold(self, key: bytes, data: bytes) -> bool:
+        return bool(Bloom.load(data).may_hold([key])[0])
+
+
 def probes_for(bits_per_key: int) -> int:
     return min(30, max(1, int(bits_per_key * 0.69)))
 

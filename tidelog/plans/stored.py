@@ -126,8 +126,8 @@ def store_put_get_delete(spark, sf_dir):
 
 
 @query(
-    f"WITH n AS ({_NATION}), ops AS (SELECT 0 AS part, key AS at, user_key, CAST(1 AS TINYINT) AS type, name AS value FROM n UNION ALL SELECT 1, key, user_key, CAST(0 AS TINYINT), NULL FROM n WHERE region = 2) "
-    "SELECT user_key, row_number() OVER (ORDER BY part, at) AS seq, type, value FROM ops"
+    f"WITH n AS ({_NATION}), ops AS (SELECT 0 AS part, key AS nr, user_key, CAST(1 AS TINYINT) AS type, name AS value FROM n UNION ALL SELECT 1, key, user_key, CAST(0 AS TINYINT), NULL FROM n WHERE region = 2) "
+    "SELECT user_key, row_number() OVER (ORDER BY part, nr) AS seq, type, value FROM ops"
 )
 def store_write_batch(spark, sf_dir):
     """One batch joined from two, written as one commit, and the records it became."""
@@ -164,7 +164,7 @@ def store_recovers(spark, sf_dir):
     except InterruptedError:
         store._stop_renewing()
     time.sleep(1)
-    with VersionedStore.open(spark, store.root) as again:
+    with VersionedStore.open(spark, store.root, Options(lease_seconds=0.5)) as again:
         again.flush()
     with VersionedStore.open(spark, store.root, read_only=True) as reader:
         return _text(reader.scan())

@@ -56,7 +56,8 @@ class Options:
     create_if_missing: bool = False
     error_if_exists: bool = False
     write_buffer_size: int = 4 << 20
-    bloom_filter: bool = True
+    #: Bits a key in the filter of a run; 0 for none.
+    bits_per_key: int = 10
     l0_compaction_trigger: int = 4
     max_level_bytes: int = 8 << 20
     max_level_bytes_multiplier: int = 10
@@ -77,6 +78,7 @@ class Options:
             "l0_compaction_trigger": self.l0_compaction_trigger < 1,
             "max_level_bytes_multiplier": self.max_level_bytes_multiplier < 1,
             "max_num_levels": self.max_num_levels < 2,
+            "bits_per_key": self.bits_per_key < 0,
             "max_run_bytes": self.max_run_bytes < 1,
             "lease_seconds": self.lease_seconds <= 0,
             "comparator": not self.comparator,

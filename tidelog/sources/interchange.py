@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.bloom import Bloom
+from tidelog.functions.bloom import BloomPolicy, FilterPolicy
 from tidelog.functions.keys import crc32c, fixed32, fixed64, length_prefixed, read_length_prefixed, read_varint, varint
 from tidelog.schema import DELETE, LOG, PUT, Corruption
 
@@ -41,7 +41,7 @@ def log_payloads(data: bytes, verify: bool = True, report: Callable[[int, str],
     """The records of a log. A torn end, as a crash leaves it, is left out; damage before it is an error.
 
     With ``report`` damage is not an error: it is told the bytes that are dropped and why, and reading goes
-    on at the next block.
+    on at the next block, or behind a sound fragment that is out of place.
     """
     at, parts = 0, []
 
@@ -75,8 +75,14 @@ def log_payloads(data: bytes, verify: bool = True, report: Callable[[int, str],
             at = damaged(f"fragment at {at} has a wrong checksum")
             continue
         if kind not in (WHOLE, FIRST, MIDDLE, LAST) or (kind in (WHOLE, FIRST)) == bool(parts):
-            at = damaged(f"fragment at {at} is out of place")
-            continue
+            if report is None:
+                raise Corruption(f"fragment at {at} is out of place")
+            starts = kind in (WHOLE, FIRST)  # then it is what came before that has no end
+            report(sum(map(len, parts)) if starts else size, f"fragment at {at} is out of place")
+            parts.clear()
+            if not starts:
+                at += HEADER + size
+                continue
         parts.append(payload)
         if kind in (WHOLE, LAST):
             yield b"".join(parts)
@@ -210,8 +216,8 @@ def _built(entries: list[tuple[bytes, bytes]], every: int = RESTART) -> bytes:
     return bytes(out) + b"".join(map(fixed32, restarts or [0])) + fixed32(max(1, len(restarts)))
 
 
-def encoded_table(rows: list[Row], block_size: int = 4096, bits_per_key: int = 10, filter_name: str = "bloom") -> bytes:
-    """A table of ``rows``, sorted here; with a filter over its user keys unless ``bits_per_key`` is 0."""
+def encoded_table(rows: list[Row], block_size: int = 4096, policy: FilterPolicy | None = BloomPolicy()) -> bytes:
+    """A table of ``rows``, sorted here; with a filter over its user keys by ``policy``, if there is one."""
     out, index, held, size = bytearray(), [], [], 0
 
     def put(contents: bytes) -> bytes:
@@ -232,28 +238,28 @@ def encoded_table(rows: list[Row], block_size: int = 4096, bits_per_key: int = 1
             flush()
     flush()
     filters = []
-    if rows and bits_per_key > 0:
-        filters.append((b"filter." + filter_name.encode(), put(Bloom.of([r[0] for r in rows], bits_per_key).dump())))
+    if rows and policy is not None:
+        filters.append((b"filter." + policy.name.encode(), put(policy.create([r[0] for r in rows]))))
     footer = put(_built(filters)) + put(_built(index, 1))
     return bytes(out) + footer.ljust(FOOTER - 8, b"\0") + fixed64(MAGIC)
 
 
-def table_filter(data: bytes) -> Bloom | None:
-    """The filter of a table; None if it has none. A damaged one is an error, as it could hide keys."""
+def table_filter(data: bytes, name: str = "bloom") -> bytes | None:
+    """The filter of that name in a table; None if it has none. A damaged one is an error, as it could hide keys."""
     filters, _ = _handle(data, len(data) - FOOTER)
-    for name, handle in _entries(_block(data, filters, True)):
-        if name.startswith(b"filter."):
-            return Bloom.load(_block(data, _handle(handle, 0)[0], True))
+    for key, handle in _entries(_block(data, filters, True)):
+        if key == b"filter." + name.encode():
+            return _block(data, _handle(handle, 0)[0], True)
     return None
 
 
-def table_get(data: bytes, key: bytes, seq: int) -> Row | None:
+def table_get(data: bytes, key: bytes, seq: int, policy: FilterPolicy | None = BloomPolicy()) -> Row | None:
     """The newest record of ``key`` up to ``seq`` in a table, a tombstone too; None if there is none.
 
     The filter first, then the one block that the index names, searched from its restarts.
     """
-    found = table_filter(data)
-    if found is not None and not found.may_hold([key]).any():
+    found = None if policy is None else table_filter(data, policy.name)
+    if found is not None and not policy.may_hold(key, found):
         return None
     _, at = _handle(data, len(data) - FOOTER)
     index, _ = _handle(data, at)
@@ -400,9 +406,9 @@ def _write(packed: DataFrame, folder: str, suffix: str) -> list[str]:
     return names
 
 
-def write_tables(log: DataFrame, folder: str, run: str = "run_id", bits_per_key: int = 10) -> list[str]:
+def write_tables(log: DataFrame, folder: str, run: str = "run_id", policy: FilterPolicy | None = BloomPolicy()) -> list[str]:
     """Write each run of ``log`` as a sorted table file into ``folder``; returns the paths."""
-    return _write(_packed(log, run, lambda rows: encoded_table(rows, bits_per_key=bits_per_key)), folder, ".ldb")
+    return _write(_packed(log, run, lambda rows: encoded_table(rows, policy=policy)), folder, ".ldb")
 
 
 def _batches(rows: list[Row]) -> list[bytes]:
