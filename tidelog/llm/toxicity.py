@@ -21,6 +21,8 @@ from tidelog.llm.common import arrow_schema, fold, labelled_texts, table
 THRESHOLD = 0.7
 #: Training documents of each class at most, and bytes and words of either class at most (whole documents up to there).
 PER_CLASS, CLASS_BYTES, CLASS_WORDS = 3000, 16 << 20, 1_200_000
+#: Training windows overlap less than those that are scored: a passage then stands whole in fewer of them.
+TRAIN_STRIDE = 48
 EPOCHS, SEED = 5, 11
 
 
@@ -42,14 +44,14 @@ def fit(rows: list[tuple[int, int, str]], epochs: int = EPOCHS, seed: int = SEED
             left[label] -= len(words)
             taken.append((label, np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)))
     vocabulary = list(numbers)
-    blocks = [gru.windows_of(n) for _, n in taken]
+    blocks, apart = ([gru.windows_of(n, gru.WINDOW, stride) for _, n in taken] for stride in (gru.STRIDE, TRAIN_STRIDE))
     labels = np.array([label for label, _ in taken])
     held = np.arange(len(taken)) % 5 == 4
     if any(not np.any((labels == c) & ~held) for c in (0, 1)):
         held[:] = False
     own = np.flatnonzero(~held)
-    windows = np.concatenate([blocks[i] for i in own])
-    owner = np.concatenate([np.full(len(blocks[i]), k) for k, i in enumerate(own)])
+    windows = np.concatenate([apart[i] for i in own])
+    owner = np.concatenate([np.full(len(apart[i]), k) for k, i in enumerate(own)])
     w = gru.train(windows, owner, labels[own], vocabulary, epochs, seed)
     every = gru.score(w, np.concatenate(blocks), vocabulary)
     best = np.maximum.reduceat(every, np.cumsum([0, *map(len, blocks)])[:-1])
