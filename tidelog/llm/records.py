@@ -28,8 +28,9 @@ from tidelog.llm.common import SLICE, shared_folder, table
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Folders of the records and of their index within that of a data set.
 RECORDS, INDEXED = "records", "index"
-#: Bytes of text for one file of records; a file is read back as one cell, of half that size or so.
-FILE_BYTES = 64 << 20
+#: Bytes of text for one file of records. A file is read back as one cell, of half that size or so, and a
+#: task holds several copies of up to 64 MB of them; executors with more memory than 1.5 GB a core can take more.
+FILE_BYTES = 16 << 20
 #: White-space separated pieces whose ids a worker keeps, then it starts anew.
 CACHE = 300_000
 
@@ -48,7 +49,7 @@ def frame(payload: bytes) -> bytes:
     return b"".join((head, _CHECK.pack(masked(head)), payload, _CHECK.pack(masked(payload)), b"\n"))
 
 
-def unframe(data: bytes, at: int) -> tuple[bytes, int]:
+def unframe(data: bytes | memoryview, at: int) -> tuple[bytes | memoryview, int]:
     """The payload of the record at ``at`` and where the next begins; ValueError if it is damaged."""
     head = data[at : at + 8]
     if len(head) < 8 or _CHECK.unpack_from(data, at + 8)[0] != masked(head):
@@ -219,7 +220,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
         schema = arrow_schema(INDEX)
         for batch in batches:
             for row in range(batch.num_rows):
-                file, data = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                file, data = batch.column(0)[row].as_py(), memoryview(batch.column(1)[row].as_buffer())
                 out, at, before = [], 0, 0
                 while at < len(data):
                     payload, after = unframe(data, at)
