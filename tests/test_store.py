@@ -183,6 +183,33 @@ def test_a_file_is_created_once(spark, root):
     assert not files.create("manifest/b", b"ours", meanwhile) and files.read("manifest/b") == b"theirs"
 
 
+def test_an_order_of_ones_own(spark, root):
+    from dataclasses import replace
+
+    from tidelog.functions.keys import SHORTLEX
+
+    options = replace(NEW, comparator=SHORTLEX, max_run_bytes=2500)
+    key = lambda i: str(i).encode()
+    with VersionedStore.open(spark, root, options) as s:
+        rows = spark.range(120).select(F.col("id").cast("string").alias("user_key"), F.lit(1).alias("type"), F.col("id").cast("string").alias("value"), "id")
+        s.write_frame(rows, "id")
+        s.compact_level(0)
+        level = sorted(s.state.runs, key=lambda r: int(r.smallest_key))
+        assert len(level) > 1 and all(int(a.largest_key) < int(b.smallest_key) for a, b in zip(level, level[1:]))
+        s.delete(key(7))
+        assert [int(k) for k, _ in pairs(s.scan())] == [i for i in range(120) if i != 7]
+        assert [int(k) for k, _ in pairs(s.scan(key(9), key(12)))] == [9, 10, 11]
+        assert [int(k) for k, _ in pairs(s.scan(reverse=True, limit=2))] == [119, 118]
+        assert [int(k) for k, _ in pairs(s.prefix(b"11"))] == [11, *range(110, 120)]
+        assert s.get(key(100)) == b"100"
+        with pytest.raises(NotFound):
+            s.get(key(7))
+        first = [i for i in (1, 0) if i <= int(level[0].largest_key)]
+        assert [int(r.user_key) for r in s.run_cursor(level[0].run_id, key(1), reverse=True).collect()] == first
+    with pytest.raises(InvalidArgument):
+        VersionedStore.open(spark, root)
+
+
 def test_files_that_fail(spark, root):
     """A store over files of one's own: a failed commit is an error, and nothing of it stays."""
     from tidelog.sources.files import Files

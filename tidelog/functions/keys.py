@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.schema import MAX_SEQUENCE, PUT
+from tidelog.schema import MAX_SEQUENCE, PUT, Comparator
 
 # The reversed Castagnoli polynomial; offset and prime of 32-bit FNV-1a.
 CASTAGNOLI = 0x82F63B78
@@ -350,6 +350,12 @@ def debug_string(key: Column, seq: Column, kind: Column) -> Column:
     return F.format_string("'%s' @ %d : %d", key, seq, kind)
 
 
+#: Shorter keys first, keys of one length bytewise: the order of numbers written without zeros in front.
+SHORTLEX = Comparator(
+    "shortlex", lambda key: struct.pack(">I", len(key)) + key, lambda key: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(key)), 8, "0")), key.cast("binary"))
+)
+
+
 def varint_length(value: Column) -> Column:
     """Bytes of the varint of a non-negative number: one for each seven bits begun."""
     return F.ceil(F.length(F.bin(value)) / 7).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,13 +84,14 @@ def write_amplification(compacted: Column, written: Column) -> Column:
     return F.try_divide(compacted.cast("double"), written.cast("double"))
 
 
-def run_metadata(log: DataFrame, run: str = "run_id") -> DataFrame:
-    """Count, key range and sequence range of each run in one aggregate."""
+def run_metadata(log: DataFrame, run: str = "run_id", order: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Count, key range and sequence range of each run in one aggregate; ``order`` is that of the keys, bytewise if None."""
     size = F.sum(F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("file_size")
+    key = F.col("user_key")
+    low, high = (F.min(key), F.max(key)) if order is None else (F.min_by(key, order(key)), F.max_by(key, order(key)))
     return log.groupBy(run).agg(
-        F.count("*").alias("num_entries"), size, F.min("user_key").alias("smallest_key"), F.max("user_key").alias("largest_key"),
-        F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"),
-    )
+        F.count("*").alias("num_entries"), size, low.alias("smallest_key"), high.alias("largest_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq")
+    )
 
 
 def approximate_offset(runs: DataFrame, key) -> DataFrame:

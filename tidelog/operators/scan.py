@@ -6,7 +6,9 @@ Parquet scan; that is sound because they keep or drop all versions of a key toge
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.keys import prefix_end
@@ -53,15 +55,15 @@ def prefixed(log: DataFrame, prefix, snapshot: int | None = None) -> DataFrame:
     return visible(log.where(F.col("user_key").startswith(prefix)), snapshot)
 
 
-def forward(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """``rows`` in key order; with ``limit`` a top-k, not a full sort."""
-    ordered = rows.orderBy("user_key")
+def forward(rows: DataFrame, limit: int | None = None, order: Callable[[Column], Column] = lambda key: key) -> DataFrame:
+    """``rows`` in key order, bytewise unless ``order`` says otherwise; with ``limit`` a top-k, not a full sort."""
+    ordered = rows.orderBy(order(F.col("user_key")))
     return ordered if limit is None else ordered.limit(limit)
 
 
-def backward(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def backward(rows: DataFrame, limit: int | None = None, order: Callable[[Column], Column] = lambda key: key) -> DataFrame:
     """The mirror of ``forward``, over the same visible rows."""
-    ordered = rows.orderBy(F.col("user_key").desc())
+    ordered = rows.orderBy(order(F.col("user_key")).desc())
     return ordered if limit is None else ordered.limit(limit)
 
 

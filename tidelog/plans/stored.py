@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.keys import SHORTLEX
 from tidelog.operators import mvcc
 from tidelog.operators.batch import WriteBatch, appended
 from tidelog.plans.catalogue import _EVENTS, _RUNS, RUN_SIZE, SNAPSHOT, _runs, _visible_sql, query
@@ -210,6 +211,21 @@ def store_single_runs(spark, sf_dir):
         return _text(mvcc.merged([store.run_cursor(r.run_id) for r in store.state.runs]))
 
 
+@query(
+    "WITH log AS (SELECT CAST(user_id AS VARCHAR) AS user_key, event_id + 1 AS seq, event_type AS value FROM events), "
+    "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND value <> 'error') "
+    "SELECT user_key, value, row_number() OVER (ORDER BY strlen(user_key), user_key) AS pos FROM newest WHERE strlen(user_key) > 1 AND (strlen(user_key), user_key) < (3, '110')"
+)
+def store_custom_order(spark, sf_dir):
+    """A range of a store whose keys are ordered by length first, after a compaction."""
+    ops = _events(spark, sf_dir).withColumn("user_key", F.regexp_replace(F.col("user_key").cast("string"), "^user:0*(?=.)", ""))
+    with _open(spark, comparator=SHORTLEX) as store:
+        store.write_frame(ops, "seq")
+        store.compact_level(0)
+        rows = [(bytes(r.user_key).decode(), bytes(r.value).decode(), n) for n, r in enumerate(store.cursor(start=b"10", end=b"110"), 1)]
+        return spark.createDataFrame(rows, "user_key string, value string, pos long")
+
+
 # streams
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
 from pyspark.sql import types as T
 
 DELETE, PUT = 0, 1
@@ -49,6 +51,18 @@ class IOFailure(StoreError):
     status = "IOError"
 
 
+@dataclass(frozen=True)
+class Comparator:
+    """An order of keys: that of the bytes to which ``plain`` maps them, one to one; ``column`` does so over columns.
+
+    A store keeps the name and refuses another one.
+    """
+
+    name: str
+    plain: Callable[[bytes], bytes] = bytes
+    column: Callable[[Column], Column] = lambda key: key
+
+
 @dataclass(frozen=True)
 class Options:
     """How a store is opened and shaped; sizes are in bytes."""
@@ -67,11 +81,16 @@ class Options:
     #: Bytes compaction may write for each byte written; at 0 only a backlog lets it run, under 0 there is no bound.
     max_write_amplification: float = 1.0
     backlog_factor: int = 4
-    comparator: str = BYTEWISE
+    #: An order of keys, or the name of one that is bytewise.
+    comparator: Comparator | str = BYTEWISE
     auto_compact: bool = False
     #: After how long without a sign of life a writer's lock is void.
     lease_seconds: float = 60.0
 
+    @property
+    def order(self) -> Comparator:
+        return self.comparator if isinstance(self.comparator, Comparator) else Comparator(self.comparator)
+
     def validate(self) -> None:
         bad = {
             "write_buffer_size": self.write_buffer_size < 1,
@@ -81,7 +100,7 @@ class Options:
             "bits_per_key": self.bits_per_key < 0,
             "max_run_bytes": self.max_run_bytes < 1,
             "lease_seconds": self.lease_seconds <= 0,
-            "comparator": not self.comparator,
+            "comparator": not self.order.name,
         }
         if any(bad.values()):
             raise InvalidArgument("invalid " + ", ".join(k for k, v in bad.items() if v))
