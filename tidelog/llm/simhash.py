@@ -36,6 +36,8 @@ BUDGET = 4
 #: Nodes of a spot that all its nodes are held against at a time, two at least.
 HUBS = 4
 
+#: Nodes whose cells one task lays out.
+NODES = 1 << 15
 #: What names a spot: the number of the half and the bits there.
 SPOT = ["number", "half"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
@@ -106,7 +108,8 @@ def _hubs() -> Column:
 def _spots(nodes: DataFrame, budget: int, segment_bits: int) -> DataFrame:
     """``number, half, fp, n, free, hubs``: the nodes of every spot that has several, with its size, the bits in which they differ and its hubs."""
     width = 32 // budget
-    placed = cells(nodes, budget, segment_bits)
+    # a node has as many cells as there are halves, so a table of nodes that is one small file is too much for one task
+    placed = cells(nodes.repartition(-(-nodes.count() // NODES) or 1, "fp"), budget, segment_bits)
     shared = settled(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "cells")
     kept = settled(placed.hint("merge").join(shared, "key"), "placed")  # occupied cells grow with the input: never broadcast
     masks = F.array(*(F.lit(_signed(sum((1 << width) - 1 << width * k for k in half))) for half in _halves(budget)))
