@@ -3,14 +3,16 @@
 The rates ``w`` of documents minimise the sum of ``w log w - w`` under one constraint a source, that the
 words taken come to its target, and the bounds 0 and ``MOST``. The dual is convex with one multiplier a
 source, and the solution is tilted exponentially in the document's size:
-``w = min(MOST, exp(multiplier * size / mean))``. Newton steps on the dual, kept inside a bracket that
-halves where a step leaves it, run as aggregates over the counts of documents by source and size, a
-table whose length does not grow with copies.
+``w = min(MOST, exp(multiplier * size / mean))``. Newton steps on the logarithm of the words taken, kept
+inside a bracket that halves where a step leaves it, run as aggregates over the counts of documents by
+source and size, a table whose length does not grow with copies. A source that is wanted whole ``MOST``
+times needs none.
 
 Documents of one source and size share a rate, so rounding works on their counts: by systematic rounding
 a copy falls on every whole number of the running sum of rates, in the order of size. What is left of a
-source's target is made up by single copies, each of the size nearest to the rest. Sums are of integers
-and decimals, so reruns agree to the last digit.
+source's target is made up by single copies, each of the size nearest to the rest. The copies of one
+source and size are dealt in the same way to its strata, of about ``STRATUM`` documents by a hash, so that
+no task numbers more. Sums are of integers and decimals, so reruns agree to the last digit.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ CYCLE = 3
 #: Rates are multiples of this.
 GRAIN = 1 << 24
 STEPS, TOLERANCE, REPAIRS = 60, 1e-6, 6
-#: Documents of one source and size stratum that one window task numbers.
-STRATUM = 1 << 12
+#: Documents of a stratum, which one window numbers.
+STRATUM = 1 << 9
 
 #: The source as a column that is never null and sorts by code point, null last.
 KEY = "_source"
@@ -38,8 +40,8 @@ KEY = "_source"
 
 def sizes(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size``, its words; 0 for null and empty texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.length(F.regexp_replace(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x"), r"[\x20\x09-\x0D]+", ""))
+    text = F.rtrim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    words = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "x"))
     return docs.withColumn("size", words.cast("long"))
 
 
@@ -87,12 +89,14 @@ def _rate(tilt: Column) -> Column:
 
 def tilts(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` with ``tilt``, the multiplier of each source's constraint."""
+    empty, whole = F.col("source_size") == 0, F.col("target") >= F.col("source_size") * MOST
+    most = F.lit(math.log(MOST)) * F.col("mean") / F.col("least")  # takes the least document, so every one, MOST times
     state = wanted.select(
         "*",
-        F.lit(0.0).alias("tilt"),
+        F.when(~empty & whole, most).otherwise(0.0).alias("tilt"),
         (F.when(F.col("source_size") > 0, F.least(F.lit(0.0), F.ln(F.col("target") / F.col("source_size")))).otherwise(0.0) * F.col("mean") / F.col("least")).alias("low"),
-        (F.lit(math.log(MOST)) * F.col("mean") / F.col("least")).alias("high"),
-        F.lit(False).alias("done"),
+        most.alias("high"),
+        (empty | whole).alias("done"),
     )
     state = settled(state, "tilts")
     for _ in range(STEPS):
@@ -107,7 +111,7 @@ def tilts(counts: DataFrame, wanted: DataFrame) -> DataFrame:
             "low": F.when(gap < 0, F.col("tilt")).otherwise(F.col("low")),
             "high": F.when(gap > 0, F.col("tilt")).otherwise(F.col("high")),
         })
-        step = F.col("tilt") - F.try_divide(gap * F.col("mean"), F.col("slope"))
+        step = F.col("tilt") - F.try_divide(F.col("words") * F.ln(F.col("words") / F.col("target")) * F.col("mean"), F.col("slope"))
         inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high"))
         moved = F.when(F.col("done"), F.col("tilt")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
         state = settled(joined.withColumn("tilt", moved).drop("words", "slope"), "tilts")
@@ -125,29 +129,34 @@ def mixture(sized: DataFrame) -> DataFrame:
     interchangeable. An empty table gives no rows. Columns of ``sized`` with the names added are replaced.
     """
     docs = _keyed(sized.drop("source_size", "target", "copies", "taken"))
-    counts = settled(docs.groupBy(KEY, "size").agg(F.count("*").alias("n")), "counts")
-    state = settled(tilts(counts, targets(counts)), "state")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    drawn = docs.withColumn("_draw", F.xxhash64(*hashed))
+    narrow = settled(drawn.select(KEY, "size", "_draw"), "drawn")
+    counts = settled(narrow.groupBy(KEY, "size").agg(F.count("*").alias("n")), "counts")
+    shares = settled(_shares(counts, settled(tilts(counts, targets(counts)), "state")), "shares")
     # a table of its own, so that Spark knows its size when it chooses the join
     crowded = settled(counts.where(F.col("n") > STRATUM).select(KEY, "size", F.ceil(F.col("n") / STRATUM).cast("long").alias("_strata")), "crowded")
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    drawn = docs.withColumn("_draw", F.xxhash64(*hashed)).join(crowded, [KEY, "size"], "left")
-    drawn = drawn.withColumn("_stratum", F.pmod("_draw", F.coalesce("_strata", F.lit(1)).cast("long"))).drop("_strata")
     cell = [KEY, "size", "_stratum"]
-    drawn = drawn.repartition(*cell)  # else the window takes over the join's partitions, in which a crowded cell is one task
-    order = Window.partitionBy(*cell).orderBy("_draw")
-    ranked = drawn.withColumn("_rank", F.row_number().over(order)).drop("_draw")
-    shares = _shares(drawn.groupBy(*cell).agg(F.count("*").alias("n")), state)
+    dealt = settled(_dealt(_cut(narrow, crowded).groupBy(*cell).agg(F.count("*").alias("n")), shares), "dealt")
+    cut = _cut(drawn, crowded).repartition(*cell)  # else the window takes over the join's partitions, in which a crowded cell is one task
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("_draw"))).drop("_draw")
     extra = (F.col("_rank") <= F.pmod(F.col("_k"), F.col("_n"))).cast("long")
-    found = ranked.join(shares, cell).withColumn("copies", F.expr("_k div _n") + extra)
+    found = ranked.join(dealt, cell).withColumn("copies", F.expr("_k div _n") + extra)
     found = found.withColumn("taken", F.col("copies") * F.col("size"))
     return found.select(*(c for c in docs.columns if c != KEY), "source_size", "target", "copies", "taken")
 
 
+def _cut(drawn: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``drawn`` with the ``_stratum`` of each document."""
+    joined = drawn.join(crowded, [KEY, "size"], "left")
+    return joined.withColumn("_stratum", F.pmod("_draw", F.coalesce("_strata", F.lit(1)).cast("long"))).drop("_strata")
+
+
 def _shares(cells: DataFrame, state: DataFrame) -> DataFrame:
-    """``cells(_source, size, _stratum, n)`` with ``_n``, ``_k`` copies for all of the cell, and what ``state`` knows of the source."""
+    """``cells(_source, size, n)`` with ``_k`` copies for all of the cell, and what ``state`` knows of the source."""
     rated = cells.join(state, KEY).withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("tilt"))).otherwise(F.lit(GRAIN)))
-    source = Window.partitionBy(KEY)
-    end = F.sum(F.col("n") * F.col("rate")).over(source.orderBy("size", "_stratum").rowsBetween(Window.unboundedPreceding, 0))
+    source = Window.partitionBy(KEY)  # a row for each size
+    end = F.sum(F.col("n") * F.col("rate")).over(source.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
     half, units = GRAIN // 2, GRAIN.bit_length() - 1
     rounded = rated.withColumn("end", end).withColumn(
         "_k", F.shiftright(F.col("end") + half, units) - F.shiftright(F.col("end") - F.col("n") * F.col("rate") + half, units)
@@ -160,10 +169,18 @@ def _shares(cells: DataFrame, state: DataFrame) -> DataFrame:
         room = F.when(more, F.col("_k") < MOST * F.col("n")).otherwise(F.col("_k") > 0)
         off = F.abs(F.abs("rest") - F.col("size"))
         fits = room & (F.col("size") > 0) & (off < F.abs("rest"))
-        rounded = rounded.withColumn("best", F.min(F.when(fits, F.struct(off.alias("off"), "size", "_stratum"))).over(source))
-        here = F.coalesce((F.col("best.size") == F.col("size")) & (F.col("best._stratum") == F.col("_stratum")), F.lit(False))
+        rounded = rounded.withColumn("best", F.min(F.when(fits, F.struct(off.alias("off"), "size"))).over(source))
+        here = F.coalesce(F.col("best.size") == F.col("size"), F.lit(False))
         rounded = rounded.withColumn("_k", F.col("_k") + F.when(here, F.when(more, 1).otherwise(-1)).otherwise(0))
-    return rounded.select(KEY, "size", "_stratum", F.col("n").alias("_n"), "_k", "source_size", "target")
+    return rounded.select(KEY, "size", F.col("n").alias("_all"), F.col("_k").alias("_copies"), "source_size", "target")
+
+
+def _dealt(strata: DataFrame, shares: DataFrame) -> DataFrame:
+    """``strata(_source, size, _stratum, n)`` with ``_n`` documents and ``_k`` copies each, in proportion to the documents."""
+    order = Window.partitionBy(KEY, "size").orderBy("_stratum").rowsBetween(Window.unboundedPreceding, 0)
+    joined = strata.join(shares, [KEY, "size"]).withColumn("_end", F.sum("n").over(order))
+    upto = lambda end: F.expr(f"cast(_copies as decimal(19, 0)) * cast({end} as decimal(19, 0)) div _all")
+    return joined.select(KEY, "size", "_stratum", F.col("n").alias("_n"), (upto("_end") - upto("(_end - n)")).alias("_k"), "source_size", "target")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
