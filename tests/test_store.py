@@ -320,3 +320,38 @@ def test_stream_of_changes(spark, log, tmp_path, root):
         assert s.state.last_sequence == 4
         s.write_frame(again, "seq", stream=(str(tmp_path / "ck2"), 1))
         assert pairs(s.scan()) == [("b", "again")]
+
+
+def test_a_level_over_its_capacity_goes_down_at_once(spark, root):
+    """As many rounds as levels, not as runs; runs count by what is left of them, and levels keep their ranges apart."""
+    from dataclasses import replace
+
+    small = replace(NEW, max_run_bytes=3000, max_level_bytes=9000, max_level_bytes_multiplier=3)
+    rows = lambda a, b, v, kind=1: spark.range(a, b).select(F.format_string("k%05d", "id").alias("user_key"), F.lit(kind).alias("type"), F.lit(v).alias("value"), "id")
+    with VersionedStore.open(spark, root, small) as s:
+        done = []
+        for n in range(3):
+            s.write_frame(rows(1000 * n, 1000 * n + 4000, f"v{n}"), "id")
+            s.write_frame(rows(500 * n, 500 * n + 200, None, 0), "id")
+            done.append(s.compact(force=True))
+            for level in range(1, 7):
+                own = sorted((r for r in s.state.runs if r.level == level), key=lambda r: r.smallest_key)
+                assert all(a.largest_key < b.smallest_key for a, b in zip(own, own[1:]))
+                assert s.level_bytes()[level] <= 9000 * 3 ** (level - 1)
+        assert max(done) <= 6 and max(s.level_file_counts()) > 2
+        assert max(r.file_size for r in s.state.runs) < 3 * 3000
+        want = {}
+        for n in range(3):
+            want |= {i: f"v{n}" for i in range(1000 * n, 1000 * n + 4000)} | {i: None for i in range(500 * n, 500 * n + 200)}
+        assert dict(pairs(s.scan())) == {f"k{i:05d}": v for i, v in want.items() if v}
+
+
+def test_runs_count_by_what_compaction_leaves(spark, root):
+    from dataclasses import replace
+
+    with VersionedStore.open(spark, root, replace(NEW, max_run_bytes=4000)) as s:
+        hot = spark.range(40_000).select((F.col("id") % 5).cast("string").alias("user_key"), F.lit(1).alias("type"), F.col("id").cast("string").alias("value"), "id")
+        s.write_frame(hot, "id")
+        s.compact_level(0)
+        assert s.level_file_counts()[:2] == [0, 1] and s.level_bytes()[1] < 4000
+        assert dict(pairs(s.scan())) == {str(k): str(39_995 + k) for k in range(5)}
