@@ -130,3 +130,47 @@ def test_a_store_folder_becomes_a_log(spark, tmp_path):
     assert sorted(pairs(mvcc.visible(log, 7))) == [("a", "old"), ("b", "x")]
     (tmp_path / "none").mkdir()
     assert x.read_store(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def _runs(spark):
+    rng = random.Random(5)
+    rows = [(n // 50, rng.randbytes(rng.randrange(8)), n + 1, kind := int(rng.random() < 0.8), rng.randbytes(900) if kind else None) for n in range(200)]
+    return rows, spark.createDataFrame(rows, "run_id long, user_key binary, seq long, type byte, value binary")
+
+
+def _through_driver(spark, write):
+    """What ``write`` gives, and the calls by which it brought rows to the driver or wrote files from there."""
+    from tidelog.sources.files import Files
+
+    calls = []
+    with pytest.MonkeyPatch.context() as patch:
+        for cls, name in ((type(spark.range(0)), "toLocalIterator"), (type(spark.range(0)), "collect"), (Files, "create")):
+            patch.setattr(cls, name, lambda *a, f=getattr(cls, name), **k: calls.append(f.__name__) or f(*a, **k))
+        return write(), calls
+
+
+def _read(rows):
+    return [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in rows.orderBy("seq").collect()]
+
+
+def test_tables_are_written_where_their_rows_lie(spark, tmp_path):
+    rows, log = _runs(spark)
+    names, calls = _through_driver(spark, lambda: x.write_tables(log, f"file://{tmp_path}/tables"))
+    assert not calls and names == [f"file://{tmp_path}/tables/{n:06d}.ldb" for n in range(4)]
+    for n in range(4):
+        assert (tmp_path / f"tables/{n:06d}.ldb").read_bytes() == x.encoded_table([r[1:] for r in rows if r[0] == n])
+    assert sorted(p.name for p in (tmp_path / "tables").iterdir() if p.name[0] != ".") == [f"{n:06d}.ldb" for n in range(4)]
+    assert _read(x.read_tables(spark, f"file://{tmp_path}/tables")) == _read(x.read_tables(spark, *names)) == [r[1:] for r in rows]
+    assert x.write_tables(log.where("false"), f"file://{tmp_path}/none") == [] and x.read_tables(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_files_that_are_there_stay(spark, tmp_path):
+    from tidelog.schema import IOFailure
+
+    _, log = _runs(spark)
+    x.write_tables(log.where("run_id = 1"), f"file://{tmp_path}/tables")
+    before = (tmp_path / "tables/000001.ldb").read_bytes()
+    with pytest.raises(IOFailure):
+        x.write_tables(log.where("seq > 60"), f"file://{tmp_path}/tables")
+    assert (tmp_path / "tables/000001.ldb").read_bytes() == before and not (tmp_path / "tables/000002.ldb").exists()
+    assert x.write_tables(log.where("run_id > 1"), f"file://{tmp_path}/tables") == [f"file://{tmp_path}/tables/{n:06d}.ldb" for n in (2, 3)]

@@ -256,8 +256,8 @@ def stream_latest(spark, sf_dir):
 def table_files(spark, sf_dir):
     """The log written as sorted table files, a run each, and read back."""
     folder = scratch_folder(spark, "tables")
-    names = interchange.write_tables(with_runs(_events(spark, sf_dir), RUN_SIZE), folder)
-    return _text(interchange.read_tables(spark, *names))
+    interchange.write_tables(with_runs(_events(spark, sf_dir), RUN_SIZE), folder)
+    return _text(interchange.read_tables(spark, folder))
 
 
 @query(f"WITH {_EVENTS} SELECT user_key, seq, type, value FROM log")

@@ -32,11 +32,12 @@ class Files:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self._spark = spark
         self._jvm = spark.sparkContext._jvm
+        self._hadoop_path = self._jvm.org.apache.hadoop.fs.Path  # looking it up is a call for each part of the name
         self.root = root.rstrip("/")
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return self._hadoop_path(f"{self.root}/{name}" if name else self.root)
 
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._path(name))
