@@ -174,3 +174,25 @@ def test_files_that_are_there_stay(spark, tmp_path):
         x.write_tables(log.where("seq > 60"), f"file://{tmp_path}/tables")
     assert (tmp_path / "tables/000001.ldb").read_bytes() == before and not (tmp_path / "tables/000002.ldb").exists()
     assert x.write_tables(log.where("run_id > 1"), f"file://{tmp_path}/tables") == [f"file://{tmp_path}/tables/{n:06d}.ldb" for n in (2, 3)]
+
+
+def test_logs_are_written_where_their_rows_lie(spark, tmp_path):
+    rows, log = _runs(spark)
+    names, calls = _through_driver(spark, lambda: x.write_logs(log, f"file://{tmp_path}/logs"))
+    assert not calls and names == [f"file://{tmp_path}/logs/{n:06d}.log" for n in range(4)]
+    for n in range(4):
+        data = (tmp_path / f"logs/{n:06d}.log").read_bytes()
+        assert [x.batch_rows(b) for b in x.log_payloads(data)] == [[r[1:] for r in rows if r[0] == n], []]
+        assert data == x.framed_log(list(x.log_payloads(data)))
+    assert _read(x.read_logs(spark, f"file://{tmp_path}/logs")) == _read(x.read_logs(spark, *names)) == [r[1:] for r in rows]
+
+
+def test_closing_batch_at_the_end_of_a_block(spark, tmp_path):
+    """The last batch leaves too little of a block for the closing one, by every number of bytes."""
+    sizes = range(x.BLOCK - 80, x.BLOCK - 20)
+    rows = [(n, b"k", n + 1, 1, b"v" * size) for n, size in enumerate(sizes)]
+    x.write_logs(spark.createDataFrame(rows, "run_id long, user_key binary, seq long, type byte, value binary"), f"file://{tmp_path}/logs")
+    assert _read(x.read_logs(spark, f"file://{tmp_path}/logs")) == [r[1:] for r in rows]
+    for n in range(len(rows)):
+        data = (tmp_path / f"logs/{n:06d}.log").read_bytes()
+        assert data == x.framed_log(list(x.log_payloads(data))) and len(list(x.log_payloads(data))) == 2

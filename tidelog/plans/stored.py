@@ -264,8 +264,8 @@ def table_files(spark, sf_dir):
 def log_files(spark, sf_dir):
     """The log written as framed files of batches, a run each, and read back."""
     folder = scratch_folder(spark, "logs")
-    names = interchange.write_logs(with_runs(_events(spark, sf_dir), RUN_SIZE), folder)
-    return _text(interchange.read_logs(spark, *names))
+    interchange.write_logs(with_runs(_events(spark, sf_dir), RUN_SIZE), folder)
+    return _text(interchange.read_logs(spark, folder))
 
 
 @query(f"WITH {_EVENTS}, {_RUNS} SELECT run_id, level, file_size, smallest_key, largest_key FROM runs WHERE run_id % 3 <> 1")
