@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -366,6 +368,26 @@ def test_encoder_starts_anew(monkeypatch):
         assert np.frombuffer(small.encode([text])[0], "<u2").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_encoder_learns_a_word_once(monkeypatch):
+    own = records.Encoder(public_tokenizers.path(records.VOCABULARY))
+    plain, learned, word = own.tokenizer, [], own._word
+    monkeypatch.setattr(own, "_word", lambda head: learned.append(head) or word(head))
+    odd = [f"a{chr(c)}{chr(c)}b" for c in range(128)] + ["T\u0308 a", "\u212aelvin \u0130x", "\u00d1o! \u00f1O??", "x<|ENDOFTEXT|> <|endoftext|>", "don't. (827) \u6f22,", "***", " \n ", ""]
+    texts = [*odd, "Zweig zweig, ZWEIG! zweig?!", *reversed(odd)]
+    monkeypatch.setattr(records, "SLICE_BYTES", 40)  # many slices
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in own.encode_column(pa.array([None, *texts])[1:])]
+    assert got == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert learned.count("zweig") == 1
+    assert list(records.slices(np.array([0, 3, 9, 1, 1, 1]), 4)) == [(0, 2), (2, 3), (3, 6)] and not list(records.slices(np.array([], int), 4))
+
+
+def test_records_write_one_file_a_task(spark):
+    folder = records.write(documents(spark, "some words", None, "others").repartition(3), file_bytes=8)
+    assert records.placed(records.index(spark, folder)).count() == 3
+    names = [name for _, _, listed in os.walk(folder.removeprefix("file:")) for name in listed]
+    assert [n for n in names if n.startswith("part-")] and not [n for n in names if n.endswith(".crc")]
+
+
 # chat
 
 

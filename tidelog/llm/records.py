@@ -19,11 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import SLICE, shared_folder, table
+from tidelog.llm.common import shared_folder, table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Folders of the records and of their index within that of a data set.
@@ -31,8 +32,15 @@ RECORDS, INDEXED = "records", "index"
 #: Bytes of text for one file of records. A file is read back as one cell, of half that size or so, and a
 #: task holds several copies of up to 64 MB of them; executors with more memory than 1.5 GB a core can take more.
 FILE_BYTES = 16 << 20
-#: White-space separated pieces whose ids a worker keeps, then it starts anew.
-CACHE = 300_000
+#: Words whose ids a worker keeps, then it starts anew.
+CACHE = 200_000
+#: Bytes of text that are encoded at a time; a longer text is encoded alone.
+SLICE_BYTES = 2 << 20
+#: Bytes of records that a task hands on at a time; a longer record goes alone or with those before it.
+OUT_BYTES = 1 << 20
+#: For files on a local file system: its own checksums, in a second file for each, would repeat those of records and
+#: Parquet pages, and each file takes processes that set its mode, started by executors. Other file systems don't see these options.
+WITHOUT_SIDE_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 _HEAD = struct.Struct("<Q")
 _CHECK = struct.Struct("<I")
@@ -70,6 +78,8 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id if known else None), np.frombuffer(payload, f"<u{width}", offset=_PAYLOAD.size)
 
 
+#: ASCII punctuation, and how many different runs of it a worker keeps the ids of.
+PUNCTUATION, TAILS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 4096
 #: A word of Latin letters, in lower case, and ASCII punctuation behind it: the tokenizer's own split of such a piece.
 _WORD = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)\Z")
 
@@ -81,12 +91,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, in order, whose lengths sum to ``most`` at most; a longer row is a range of its own."""
+    ends, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
 class Encoder:
     """Encodes texts piece by piece: the tokenizer never joins what ASCII white space separates.
 
-    Ids of pieces are kept. Of more than ``capacity`` pieces those stay that came up again, and if these
-    are too many, none. Most pieces are a word with punctuation behind it; the two parts go to the
-    tokenizer's model as its own normalizer and splitter would hand them on, all others to the tokenizer.
+    Arrow splits the texts and looks up which pieces are alike, so each different piece of a column is
+    encoded once and its ids are copied to where it stands. Most pieces are a word with punctuation behind
+    it; the two parts go to the tokenizer's model as its own normalizer and splitter would hand them on, all
+    others to the tokenizer. Ids of words are kept, whatever punctuation was behind them, in two halves of
+    ``capacity``: when the later is full, the earlier goes, but for the words that came up again meanwhile.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, capacity: int = CACHE) -> None:
@@ -97,8 +118,9 @@ class Encoder:
         self.dtype, self.capacity = f"<u{self.width}", capacity
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
-        self.model, self.letters, self.tails = self.tokenizer.model, _byte_letters(), {}
+        self.earlier: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.packer = lru_cache(4096)(lambda n: struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack)
         self.direct = self._splits_words()
 
@@ -107,51 +129,79 @@ class Encoder:
         heads = ["a", "The", "QU\u00c9", "stra\u00dfe", "na\u00efve", "\u00f8re", "re", "s", "\u00ffz", "don"]
         tails = ["", ".", "'", "''", "###", "_", "!?", "&&&", ")", "$", "-", "<>", "`~|", '"/', "*+,:;=@[]^{}%\\("]
         for piece in (h + t for h in heads for t in tails):
-            found = _WORD.match(piece.lower())
-            if self._parts(found) != self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids):
+            head, tail = _WORD.match(piece.lower()).groups()
+            if self._word(head) + self._tail(tail.encode()) != self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids):
                 return False
         return True
 
     def _bytes(self, ids: list[int]) -> bytes:
         return self.packer(len(ids))(*ids)
 
-    def _parts(self, found: re.Match) -> bytes:
-        head, tail = found.groups()
+    def _word(self, head: str) -> bytes:
         if not head.isascii():
             head = head.encode().decode("latin-1").translate(self.letters)
-        ids = [token.id for token in self.model.tokenize(head)]
-        if tail:
-            if (end := self.tails.get(tail)) is None:
-                end = self.tails[tail] = [token.id for token in self.model.tokenize(tail)]
-            ids += end
-        return self._bytes(ids)
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        rest = []
-        for piece in fresh:
-            text = piece.decode()
-            found = _WORD.match(text.lower()) if self.direct else None
-            if found:
-                self.known[piece] = self._parts(found)
+        return self._bytes([token.id for token in self.model.tokenize(head)])
+
+    def _tail(self, tail: bytes) -> bytes:
+        if (ids := self.tails.get(tail)) is None:
+            ids = self._bytes([token.id for token in self.model.tokenize(tail.decode())])
+            if len(self.tails) < TAILS:
+                self.tails[tail] = ids
+        return ids
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece."""
+        half = max(1, self.capacity // 2)
+        if len(self.known) >= half:
+            self.earlier, self.known = self.known, {}
+        known, earlier, tails, out, rest = self.known, self.earlier, self.tails, [], []
+        for piece in pieces:
+            head = piece.rstrip(PUNCTUATION)
+            tail = piece[len(head) :]
+            word = head.lower()  # ASCII letters only
+            if (ids := known.get(word)) is not None:
+                pass
+            elif (ids := earlier.get(word)) is not None:
+                if len(known) < half:
+                    known[word] = ids
+            elif self.direct and (word.isalpha() or _WORD.match(head.decode().lower())):  # of bytes, isalpha is of ASCII
+                ids = self._word(head.decode().lower())
+                if len(known) < half:
+                    known[word] = ids
             else:
-                rest.append((piece, text))
+                rest.append((len(out), piece.decode()))
+                out.append(b"")
+                continue
+            if tail:
+                ids += tails.get(tail) or self._tail(tail)
+            out.append(ids)
         for at in range(0, len(rest), 2000):
             some = rest[at : at + 2000]
             coded = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            self.known.update((piece, self._bytes(c.ids)) for (piece, _), c in zip(some, coded))
+            for (place, _), c in zip(some, coded):
+                out[place] = self._bytes(c.ids)
+        return out
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a string column and the end id, as bytes; null texts count as empty."""
+        texts = pc.fill_null(texts, "")
+        for first, last in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
+            split = pc.ascii_split_whitespace(texts.slice(first, last - first))  # as bytes.split, but empty pieces
+            words = split.flatten().dictionary_encode()
+            pieces = words.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+            ids = pa.array(self._pieces(pieces.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+            if not len(ids):
+                yield from [self.end] * (last - first)
+                continue
+            _, places, data = ids.buffers()
+            places = np.frombuffer(places, np.int64)[ids.offset :][split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+            data = memoryview(data) if data else b""
+            for start, stop in zip(places, places[1:]):
+                yield bytes(data[start:stop]) + self.end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, as bytes."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        pieces = set().union(*split)
-        fresh = pieces.difference(self.known)
-        self.again |= pieces - fresh
-        if len(self.known) + len(fresh) > self.capacity:
-            kept = self.again if len(self.again) <= self.capacity // 2 else pieces - fresh
-            self.known, self.again, self.tails = {w: self.known[w] for w in kept}, set(), {}
-        self._learn(fresh)
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) + self.end for words in split]
+        """``encode_column`` of a list."""
+        return list(self.encode_column(pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string())))
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -188,15 +238,19 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                coded = encoder.encode(part.column(1).to_pylist())
-                framed = [frame(pack(i, c, encoder.width))[:-1] for i, c in zip(part.column(0).to_pylist(), coded)]
+            framed, size = [], 0
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_column(batch.column(1))):
+                framed.append(frame(pack(doc_id, ids, encoder.width))[:-1])
+                size += len(framed[-1])
+                if size >= OUT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["value"])
+                    framed, size = [], 0
+            if framed:
                 yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["value"])
 
     written = ordered.mapInArrow(run, "value binary")
     # the line writer puts the bytes as they are, and a line feed, the record's last byte, behind them
-    written.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/{RECORDS}")
+    written.select(F.col("value").cast("string").alias("value")).write.options(lineSep="\n", **WITHOUT_SIDE_FILES).text(f"{folder}/{RECORDS}")
     return folder
 
 
@@ -231,7 +285,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{RECORDS}").select("path", "content")
-    files.mapInArrow(run, INDEX).write.parquet(f"{folder}/{INDEXED}")
+    files.mapInArrow(run, INDEX).write.options(**WITHOUT_SIDE_FILES).parquet(f"{folder}/{INDEXED}")
     return read_index(spark, folder)
 
 
@@ -245,7 +299,7 @@ def placed(found: DataFrame) -> DataFrame:
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("all"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     bases = totals.select("file", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
-    return found.join(bases, "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
+    return found.join(F.broadcast(bases), "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
 def read_at(spark: SparkSession, file: str, offset: int, length: int) -> tuple[int | None, list[int]]:
